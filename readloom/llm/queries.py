@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe, sharding
+from readloom.llm import bpe, decontaminate, sharding, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,6 +25,38 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
 
+@_query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    joined = F.array_join(F.array_sort(F.transform("bd_items", lambda x: x.cast("string"))), ",")
+    return marked.select(
+        "doc_id",
+        F.col("bd_n_words").alias("n_words"),
+        F.col("bd_n_hit").alias("n_hit"),
+        F.size("bd_items").cast("bigint").alias("n_items"),
+        F.sha2(joined, 256).alias("items_sha256"),
+        (F.col("bd_n_hit") > 0).alias("contaminated"),
+    )
+
+
+@_query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The rules of the query's contract.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@_query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    judged = urls.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES, tokenizers.path("word_bpe_49k.json"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score", "tokens")
+
+
 @_query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
