@@ -25,11 +25,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from readloom.llm.arrow import by_bytes
 from readloom.session import ship
 
 _WIDTHS = (8, 16, 32, 64)
 _BLOCK = 2048
-_CACHE_ENTRIES = 800_000
+_CACHE_ENTRIES = 400_000
 _CHUNK_CHARS = 1 << 21
 _PIECES_AT_ONCE = 200_000
 
@@ -331,21 +332,6 @@ def decode_ids(vocabulary: Vocabulary, ids: bytes) -> bytes:
     return vocabulary.bytes_of(np.frombuffer(ids, dtype="<u4"))[0].tobytes()
 
 
-_SMALL = 4 << 20
-
-
-def by_bytes(sizes: list[int], most: int = _SMALL):
-    """Ranges of rows whose sizes sum to about ``most``, one row at least."""
-    start = total = 0
-    for i, size in enumerate(sizes):
-        total += size
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): ids are packed as little-endian unsigned 32-bit integers."""
     ship(df.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe, decontaminate, sharding, urls, warc
+from readloom.llm import bpe, decontaminate, langid, sharding, topk, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,6 +25,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
 
+@_query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.crc_mod(F.col("doc_id"), 4) == 2
+    model = langid.train(docs.where(~held_out), tokenizers.path("piece_bpe_32k.model"))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score")
+    )
+
+
+@_query
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors.where(F.col("vec_id") % 100 == 0), vectors, 10)
+
+
 @_query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
