@@ -33,56 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.arrow import add_columns, text_bytes
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SPAN = np.dtype([("item", "<i8"), ("item_word", "<i8"), ("doc_word", "<i8"), ("n_words", "<i8")])
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_IS_WORD = np.zeros(256, dtype=bool)
-_IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
-
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, n.bit_length())
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            factor = np.full(size, np.uint64(base & 0xFFFFFFFFFFFFFFFF))
-            factor[0] = 1
-            _powers[k] = np.multiply.accumulate(factor)
-    return _powers[0], _powers[1]
-
-
-class WordText:
-    """Words of many texts laid end to end: their bytes, places and hashes."""
-
-    def __init__(self, data: bytes, sizes: list[int]):
-        raw = _LOWER[np.frombuffer(data, dtype=np.uint8)]
-        self.raw = raw
-        n = len(raw)
-        word = np.zeros(n + 2, dtype=bool)
-        word[1:-1] = _IS_WORD[raw]
-        ends_at = np.cumsum(np.asarray([0, *sizes], dtype=np.int64))
-        edge = word[1:] != word[:-1]
-        # A word also ends where its text ends.
-        inner = ends_at[(ends_at > 0) & (ends_at < n)]
-        glued = np.unique(inner[word[inner] & word[inner + 1]])
-        marks = np.flatnonzero(edge)
-        if len(glued):
-            marks = np.sort(np.concatenate([marks, glued, glued]), kind="stable")
-        self.start, self.end = marks[0::2], marks[1::2]
-        power, inverse = _power_tables(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        self.hash = (total[self.end] - total[self.start]) * inverse[self.start]
-        self.first = np.searchsorted(self.start, ends_at, side="left")  # of each text, in words
-
-    def word(self, i: int) -> bytes:
-        return self.raw[self.start[i] : self.end[i]].tobytes()
-
+from readloom.llm.words import WordText
 
 class Block:
     """The windows of a block of benchmark items, ready to be searched for."""
