@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe, decontaminate, langid, neardup, sharding, topk, urls, warc
+from readloom.llm import bpe, decontaminate, html, langid, neardup, sharding, topk, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -25,6 +25,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), 40)
 
 
+@_query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @_query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
