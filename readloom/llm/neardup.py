@@ -263,6 +263,22 @@ def _rest(nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return _rest_pairs(full.repartition("group").sortWithinPartitions("group"), percent).distinct()
 
 
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``ids``.
+
+    A bitmap of hashed ids goes ahead of the join, so that few texts are
+    shuffled. It has 2^25 bits (4 MB) whatever the number of ids, which bounds
+    the broadcast; where it fills up it lets more rows through to the join.
+    """
+    bit = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 25))
+    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    at = docs.withColumn("bit", bit)
+    byte = F.substring("map", (F.bitmap_bit_position("bit") / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.bitmap_bit_position("bit") % 8).cast("int")) == 1
+    near = at.join(F.broadcast(maps), F.bitmap_bucket_number("bit") == F.col("bucket")).where(is_set).select(*docs.columns)
+    return near.join(ids.select(F.col("id").alias("t_id")), F.col("id") == F.col("t_id"), "left_semi")
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n, component) of each document: set size, smallest id of its group."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -279,7 +295,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     most = F.col("n") - F.ceil(F.col("n") * percent / 100.0)
     nodes = firsts.join(lonely, F.col("id") == F.col("l_id"), "left").where(F.coalesce("u", F.lit(0)) <= most)
     nodes = _saved(nodes.select("id", "n", "sig", "bins"))
-    texts = _saved(plain.join(nodes.select(F.col("id").alias("t_id")).distinct(), F.col("id") == F.col("t_id"), "left_semi").dropDuplicates(["id", "text"]))
+    texts = _saved(_with_ids(plain, nodes.select("id")).dropDuplicates(["id", "text"]))
 
     keys = _half_keys(nodes, 2 * M)
     leader = keys.groupBy(F.col("half").alias("l_half")).agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
