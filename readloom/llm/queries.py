@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe, decontaminate, html, langid, neardup, sharding, topk, urls, warc
+from readloom.llm import bpe, decontaminate, html, langid, lm, neardup, sharding, topk, urls, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -100,3 +100,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
     )
+
+
+@_query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return lm.score(_table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
