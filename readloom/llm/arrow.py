@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -30,10 +31,14 @@ def sizes_of(column: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(column), 0).to_pylist()
 
 
-def text_bytes(column: pa.Array) -> tuple[bytes, list[int]]:
+def text_bytes(column: pa.Array) -> tuple[bytes, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and the length of each (null: 0)."""
-    sizes = sizes_of(column)
-    return b"".join(x.as_buffer().to_pybytes() for x in column if x.is_valid), sizes
+    filled = pc.fill_null(column.cast(pa.large_string()), "")
+    if len(filled) == 0:
+        return b"", np.zeros(0, dtype=np.int64)
+    _, ends, data = filled.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    return (data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes() if data is not None else b""), np.diff(ends)
 
 
 def map_batches(df: DataFrame, schema: str, sized_by: str, make: Callable[[], Callable]) -> DataFrame:

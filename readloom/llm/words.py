@@ -51,7 +51,7 @@ class WordText:
         n = len(raw)
         word = np.zeros(n + 2, dtype=bool)
         word[1:-1] = is_word[raw]
-        ends_at = np.cumsum(np.asarray([0, *sizes], dtype=np.int64))
+        ends_at = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))]).astype(np.int64)
         marks = np.flatnonzero(word[1:] != word[:-1])
         inner = ends_at[(ends_at > 0) & (ends_at < n)]
         glued = np.unique(inner[word[inner] & word[inner + 1]])
