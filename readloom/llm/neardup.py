@@ -26,7 +26,7 @@ A pair at the threshold of 0.8 is missed by the tables with probability
 
 Defined results: a null or wordless text has an empty set and links with
 nothing; fewer words than the shingle size are one shingle; rows of one id are
-one document of the graph; a null id is never linked to others except by an
+one document of the graph, for whose links its least text stands; a null id is never linked to others except by an
 equal set, whose smallest id it takes; an empty table gives no rows; extra
 columns are ignored by ``group`` and stay in ``deduplicate``, whatever their
 names (but ``nd_gone``).
@@ -152,9 +152,26 @@ def _leader_filter(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``ids``, and maybe of a few others.
+
+    A bitmap of hashed ids goes ahead of the shuffle, so that few texts are
+    moved. It has 2^25 bits (4 MB) whatever the number of ids, which bounds the
+    broadcast; where it fills up it only lets more rows through.
+    """
+    bit = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 25))
+    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    byte = F.substring("map", (F.bitmap_bit_position("bit") / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.bitmap_bit_position("bit") % 8).cast("int")) == 1
+    near = docs.withColumn("bit", bit).join(F.broadcast(maps), F.bitmap_bucket_number("bit") == F.col("bucket")).where(is_set)
+    return near.groupBy("id").agg(F.min("text").alias("text"))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets of both texts link."""
     ship(pairs.sparkSession)
+    pairs = _saved(pairs)
+    texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     left = texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
@@ -263,30 +280,13 @@ def _rest(nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     return _rest_pairs(full.repartition("group").sortWithinPartitions("group"), percent).distinct()
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``.
-
-    A bitmap of hashed ids goes ahead of the join, so that few texts are
-    shuffled. It has 2^25 bits (4 MB) whatever the number of ids, which bounds
-    the broadcast; where it fills up it lets more rows through to the join.
-    """
-    bit = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 25))
-    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    at = docs.withColumn("bit", bit)
-    byte = F.substring("map", (F.bitmap_bit_position("bit") / 8).cast("int") + 1, F.lit(1))
-    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.bitmap_bit_position("bit") % 8).cast("int")) == 1
-    near = at.join(F.broadcast(maps), F.bitmap_bucket_number("bit") == F.col("bucket")).where(is_set).select(*docs.columns)
-    return near.join(ids.select(F.col("id").alias("t_id")), F.col("id") == F.col("t_id"), "left_semi")
-
-
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n, component) of each document: set size, smallest id of its group."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = _saved(signatures(plain, size))
-    sets = every.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"))
-    reps = sets.where(F.col("rep").isNotNull())
-    firsts = every.join(reps.withColumnRenamed("key", "r_key"), (F.col("key") == F.col("r_key")) & (F.col("id") == F.col("rep")))
-    firsts = firsts.select("id", "n", "key", "sig", "bins").dropDuplicates(["id", "key"])
+    sets = every.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "sig", "bins"), "id").alias("first"))
+    reps = sets.where(F.col("rep").isNotNull()).select("key", "rep", "first")
+    firsts = reps.select(F.col("rep").alias("id"), "first.*")
 
     # Support: shingles of the counted share that only one set has.
     post = _postings(plain, size)
@@ -295,8 +295,6 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     most = F.col("n") - F.ceil(F.col("n") * percent / 100.0)
     nodes = firsts.join(lonely, F.col("id") == F.col("l_id"), "left").where(F.coalesce("u", F.lit(0)) <= most)
     nodes = _saved(nodes.select("id", "n", "sig", "bins"))
-    texts = _saved(_with_ids(plain, nodes.select("id")).dropDuplicates(["id", "text"]))
-
     keys = _half_keys(nodes, 2 * M)
     leader = keys.groupBy(F.col("half").alias("l_half")).agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
     pairs = keys.join(leader, F.col("half") == F.col("l_half")).where("a < id").select("a", F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
@@ -304,12 +302,13 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     pairs = pairs.join(bins.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a")), F.col("a") == F.col("id_a"))
     pairs = pairs.where(_fits(percent, "n_a", "n_b"))
     pairs = pairs.join(bins.select(F.col("id").alias("id_b"), F.col("bins").alias("bins_b")), F.col("b") == F.col("id_b"))
-    links = _saved(_verify(_leader_filter(pairs, percent).select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), texts, size, percent))
+    links = _saved(_verify(_leader_filter(pairs, percent).select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), plain, size, percent))
     comp = _saved(components(links))
-    more = _saved(_verify(_rest(nodes, comp, percent), texts, size, percent))
+    more = _saved(_verify(_rest(nodes, comp, percent), plain, size, percent))
     comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a > b").union(more.select("a", "b")))
 
-    label = reps.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("s_key"), F.coalesce("component", "rep").alias("s_comp"))
+    label = every.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull())
+    label = label.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("s_key"), F.coalesce("component", "rep").alias("s_comp"))
     rows = every.select("id", "n", "key").join(label, F.col("key") == F.col("s_key"), "left")
     return rows.select("id", "n", F.coalesce("s_comp", "id").alias("component"))
 
