@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +19,26 @@ from readloom.session import ship
 SMALL = 4 << 20
 
 
+def tidy(run: Callable) -> Callable:
+    """A task's function that gives its memory back at the end.
+
+    Python workers live on and run the next stages beside the JVM; what the
+    allocators keep for themselves would add up.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def by_bytes(sizes: list[int], most: int = SMALL) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to about ``most``; one row at least each."""
     start = total = 0
@@ -49,6 +73,7 @@ def map_batches(df: DataFrame, schema: str, sized_by: str, make: Callable[[], Ca
     """
     ship(df.sparkSession)
 
+    @tidy
     def run(batches):
         work = make()
         for batch in batches:
@@ -66,6 +91,7 @@ def add_columns(df: DataFrame, schema: str, sized_by: str, make: Callable[[], Ca
     names = [f.name for f in target.fields]
     ship(df.sparkSession)
 
+    @tidy
     def run(batches):
         work = make()
         for batch in batches:

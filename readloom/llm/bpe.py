@@ -25,13 +25,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from readloom.llm.arrow import by_bytes
+from readloom.llm.arrow import by_bytes, tidy
 from readloom.session import ship
 
 _WIDTHS = (8, 16, 32, 64)
 _BLOCK = 2048
-_CACHE_ENTRIES = 400_000
-_CHUNK_CHARS = 1 << 21
+_CACHE_ENTRIES = 200_000
+_CHUNK_CHARS = 1 << 20
 _PIECES_AT_ONCE = 200_000
 
 # The characters for which the quick pattern below decides as the
@@ -338,6 +338,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     rows = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
+    @tidy
     def run(batches):
         own = encoder(path, pattern)
         for batch in batches:
@@ -355,6 +356,7 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     ship(df.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
+    @tidy
     def run(batches):
         own = encoder(path, pattern).vocabulary
         for batch in batches:

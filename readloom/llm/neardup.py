@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import words
-from readloom.llm.arrow import by_bytes, map_batches, sizes_of, text_bytes
+from readloom.llm.arrow import by_bytes, map_batches, sizes_of, text_bytes, tidy
 from readloom.llm.graph import components
 from readloom.session import shared_dir, ship
 
@@ -107,6 +107,7 @@ def _postings(docs: DataFrame, size: int) -> DataFrame:
     top = np.uint64(int(_SHARE * 2**64))
     schema = pa.schema([("id", pa.int64()), ("h", pa.int64())])
 
+    @tidy
     def run(batches):
         for batch in batches:
             for a, b in by_bytes(sizes_of(batch.column("text"))):
@@ -135,6 +136,7 @@ def _leader_filter(pairs: DataFrame, percent: int) -> DataFrame:
     ship(pairs.sparkSession)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    @tidy
     def run(batches):
         for batch in batches:
             left, right = batch.column("bins_a"), batch.column("bins_b")
@@ -177,6 +179,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     right = texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
 
+    @tidy
     def run(batches):
         last, last_set = None, set()
         for batch in batches:
@@ -243,6 +246,7 @@ def _rest_pairs(rows: DataFrame, percent: int) -> DataFrame:
         pairs = test(half, sides[0], sides[0]) if len(sides) == 1 and side[0] == 0 else test(half, sides[0], sides[1]) if len(sides) == 2 else []
         return pairs
 
+    @tidy
     def run(batches):
         held = None
         for batch in batches:
