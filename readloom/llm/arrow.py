@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from readloom.session import ship
 
-SMALL = 4 << 20
+SMALL = 2 << 20
 
 
 def tidy(run: Callable) -> Callable:

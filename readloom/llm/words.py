@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 4 << 20
+_PIECE = 1 << 20
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 LOWER = np.arange(256, dtype=np.uint8)
