@@ -19,6 +19,10 @@ from readloom.session import ship
 SMALL = 2 << 20
 
 
+#: Called at the end of each task: drops caches that modules keep.
+at_end: list[Callable[[], None]] = []
+
+
 def tidy(run: Callable) -> Callable:
     """A task's function that gives its memory back at the end.
 
@@ -31,6 +35,8 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
+            for forget in at_end:
+                forget()
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):

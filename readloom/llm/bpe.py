@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from readloom.llm.arrow import by_bytes, tidy
+from readloom.llm.arrow import at_end, by_bytes, tidy
 from readloom.session import ship
 
 _WIDTHS = (8, 16, 32, 64)
@@ -327,6 +327,14 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
+def _forget() -> None:
+    for own in _encoders.values():
+        own.known = {}
+
+
+at_end.append(_forget)
+
+
 def decode_ids(vocabulary: Vocabulary, ids: bytes) -> bytes:
     """The bytes that packed ids stand for."""
     return vocabulary.bytes_of(np.frombuffer(ids, dtype="<u4"))[0].tobytes()
