@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from readloom.llm import bpe, decontaminate, html, langid, lm, neardup, sharding, topk, urls, warc
 
 QUERIES: dict = {}
-ORACLES: dict = {}
 
 
 def _query(f):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from readloom.llm import queries
+from readloom.llm import oracles, queries
 
 QUERIES = dict(queries.QUERIES)
-ORACLES = dict(queries.ORACLES)
+ORACLES = dict(oracles.ORACLES)
