@@ -92,8 +92,13 @@ def map_batches(df: DataFrame, schema: str, sized_by: str, make: Callable[[], Ca
 
 
 def add_columns(df: DataFrame, schema: str, sized_by: str, make: Callable[[], Callable]) -> DataFrame:
-    """As map_batches(), but the new columns stand behind those of ``df``."""
-    target = StructType(df.schema.fields + StructType.fromDDL(schema).fields)
+    """As map_batches(), but the new columns stand behind those of ``df``.
+
+    A column of ``df`` that has the name of a new one makes way for it.
+    """
+    new = StructType.fromDDL(schema).fields
+    df = df.drop(*[f.name for f in new if f.name in df.columns])
+    target = StructType(df.schema.fields + new)
     names = [f.name for f in target.fields]
     ship(df.sparkSession)
 

@@ -25,6 +25,7 @@ but its own four, prefixed ``bd_``.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -203,4 +204,6 @@ def mark(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no window of the benchmark, with their columns."""
-    return mark(docs, benchmark, **options).where(F.col("bd_n_hit") == 0).select(*docs.columns)
+    aside = {c: f"aside_{uuid.uuid4().hex}" for c in docs.columns if c.startswith("bd")}
+    marked = mark(docs.withColumnsRenamed(aside), benchmark, **options).where(F.col("bd_n_hit") == 0)
+    return marked.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])

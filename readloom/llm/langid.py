@@ -15,8 +15,8 @@ Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if no labelled row can be learnt from; characters that no
 piece has are scored alike in all languages; ties go to the language that
 sorts first; repeated rows get repeated results; an empty table gives no rows.
-Columns of ``predict`` stand behind all columns of the documents, whose names
-may be any but ``lid_lang`` and ``lid_score``.
+Columns of ``predict`` stand behind all columns of the documents; of those,
+columns named ``lid_lang`` or ``lid_score`` make way.
 """
 
 from __future__ import annotations

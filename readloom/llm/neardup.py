@@ -29,7 +29,7 @@ nothing; fewer words than the shingle size are one shingle; rows of one id are
 one document of the graph, for whose links its least text stands; a null id is never linked to others except by an
 equal set, whose smallest id it takes; an empty table gives no rows; extra
 columns are ignored by ``group`` and stay in ``deduplicate``, whatever their
-names (but ``nd_gone``).
+names.
 """
 
 from __future__ import annotations
@@ -320,5 +320,6 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that are not the first of their group."""
     found = group(docs, id_col, text_col, size, percent).where("id <> component").select("id").distinct()
-    gone = _saved(found).withColumnRenamed("id", "nd_gone")
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("nd_gone"), "left_anti").select(*docs.columns)
+    name = f"gone_{uuid.uuid4().hex}"
+    gone = _saved(found).withColumnRenamed("id", name)
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col(name), "left_anti").select(*docs.columns)
