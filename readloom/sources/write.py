@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.operators.export import sam_line
@@ -23,6 +23,41 @@ from readloom.sources.header import HeaderCatalog
 FORMATS = {"sam": (False, 0, "dec"), "hex": (False, 0, "hex"), "text": (False, 0, "text"), "bam": (True, 6, "dec"), "ubam": (True, 0, "dec"), "sam.gz": (False, 6, "dec")}
 
 
+class _Sink:
+    """One output file: header first, then batches of rows or lines."""
+
+    def __init__(self, name: str, catalog: HeaderCatalog, format: str, header: bool):
+        binary, level, _ = FORMATS[format]
+        self.name, self.stream = name, open_file(name, write=True)
+        self.writer = self.zip = None
+        if binary:
+            self.writer = BamWriter(self.stream, catalog if header else HeaderCatalog(references=catalog.references), level)
+            return
+        if level:
+            self.zip = gzip.GzipFile(fileobj=self.stream, mode="wb", compresslevel=level, mtime=0)
+        (self.zip or self.stream).write((catalog.text() if header else "").encode())
+
+    def write(self, batch: pa.RecordBatch) -> None:
+        if self.writer:
+            for row in batch.to_pylist():
+                self.writer.write(row)
+        elif batch.num_rows:
+            (self.zip or self.stream).write(("\n".join(batch.column("line").to_pylist()) + "\n").encode())
+
+    def close(self) -> None:
+        for part in (self.writer, self.zip, self.stream):
+            if part is not None:
+                part.close()
+
+
+def _columns(df: DataFrame, format: str) -> list[Column]:
+    if format not in FORMATS:
+        raise ValueError(f"not an output format: {format!r}; there are {', '.join(FORMATS)}")
+    binary, _, style = FORMATS[format]
+    names = ("qname", "flag", "rname", "pos", "mapq", "cigar", "mate_rname", "mate_pos", "isize", "seq", "qual", "aux")
+    return [df[n] for n in names] if binary else [sam_line(df, style).alias("line")]
+
+
 def write_alignments(df: DataFrame, catalog: HeaderCatalog, path: str, format: str = "sam", header: bool = True, parts: bool = False) -> list[str]:
     """Writes rows in their order and returns the files.
 
@@ -31,78 +66,82 @@ def write_alignments(df: DataFrame, catalog: HeaderCatalog, path: str, format: s
     are written under other names and renamed by the driver when all succeeded,
     so a repeated task leaves no double.
     """
-    if format not in FORMATS:
-        raise ValueError(f"not an output format: {format!r}; there are {', '.join(FORMATS)}")
-    binary, level, style = FORMATS[format]
-    spark = df.sparkSession
-    ship(spark)
-    rows = df.select("qname", "flag", "rname", "pos", "mapq", "cigar", "mate_rname", "mate_pos", "isize", "seq", "qual", "aux") if binary else df.select(sam_line(df, style).alias("line"))
+    rows = df.select(_columns(df, format))
+    ship(df.sparkSession)
     run_id, folder = uuid.uuid4().hex, as_uri(path if parts else os.path.dirname(path) or ".")
-    text = catalog.text() if header else ""
 
     def run(batches):
-        context = TaskContext.get()
-        name = f"{folder}/.{run_id}-{context.partitionId():06d}-{uuid.uuid4().hex}"
-        with open_file(name, write=True) as stream:
-            if binary:
-                writer = BamWriter(stream, catalog if header else HeaderCatalog(references=catalog.references), level)
-                for batch in batches:
-                    for row in batch.to_pylist():
-                        writer.write(row)
-                writer.close()
-            else:
-                out = gzip.GzipFile(fileobj=stream, mode="wb", compresslevel=level, mtime=0) if level else stream
-                out.write(text.encode())
-                for batch in batches:
-                    if batch.num_rows:
-                        out.write(("\n".join(batch.column("line").to_pylist()) + "\n").encode())
-                if level:
-                    out.close()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int32()), "name": [name]})
-
-    rows = rows if parts else rows.coalesce(1)
-    done = rows.mapInArrow(run, "part int, name string").collect()
-    return _finish(done, folder, path, format, parts, catalog, header)
-
-
-def _finish(done: list, folder: str, path: str, format: str, parts: bool, catalog: HeaderCatalog, header: bool) -> list[str]:
-    from pyarrow import fs
-
-    where, inner = fs.FileSystem.from_uri(folder)
-    out = []
+        part = TaskContext.get().partitionId()
+        sink = _Sink(f"{folder}/.{run_id}-{part:06d}-{uuid.uuid4().hex}", catalog, format, header)
+        for batch in batches:
+            sink.write(batch)
+        sink.close()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [sink.name]})
+
+    done = (rows if parts else rows.coalesce(1)).mapInArrow(run, "part int, name string").collect()
     if not done:  # no task ran: an output of the header alone
-        binary, level, _ = FORMATS[format]
         target = f"{folder}/part-000000.{format}" if parts else as_uri(path)
-        with open_file(target, write=True) as stream:
-            if binary:
-                BamWriter(stream, catalog if header else HeaderCatalog(references=catalog.references), level).close()
-            else:
-                text = (catalog.text() if header else "").encode()
-                stream.write(gzip.compress(text, mtime=0) if level else text)
+        _Sink(target, catalog, format, header).close()
         return [target]
-    for r in sorted(done, key=lambda r: r["part"]):
-        target = f"{folder}/part-{r['part']:06d}.{format}" if parts else as_uri(path)
-        where.move(fs.FileSystem.from_uri(r["name"])[1], fs.FileSystem.from_uri(target)[1])
-        out.append(target)
-    return out
+    targets = [f"{folder}/part-{r['part']:06d}.{format}" if parts else as_uri(path) for r in done]
+    for r, target in zip(done, targets):
+        _rename(r["name"], target)
+    return sorted(targets)
+
+
+def _rename(name: str, target: str) -> None:
+    from pyarrow import fs
+
+    where, inner = fs.FileSystem.from_uri(name)
+    where.move(inner, fs.FileSystem.from_uri(target)[1])
 
 
-def split_by_group(df: DataFrame, catalog: HeaderCatalog, source: str, folder: str, *flags: str, min_quality: int = 0, template: str = DEFAULT_TEMPLATE, format: str = "sam", copy_to: str | None = None) -> dict[str, str]:
+def split_by_group(
+    df: DataFrame, catalog: HeaderCatalog, source: str, folder: str, *flags: str, min_quality: int = 0, template: str = DEFAULT_TEMPLATE,
+    format: str = "sam", order: tuple[str, ...] = ("source", "ordinal"), copy_to: str | None = None,
+) -> dict[str, str]:
     """One file for each read group of the header, empty ones too, each with the whole header.
 
-    A selected read without a group, or with one that the header lacks, raises.
+    All files are written in one pass: rows are dealt by group and a task opens
+    a file for each of its groups in turn. A selected read without a group, or
+    with one that the header lacks, raises.
     """
-    chosen = filter_reads(df, *flags, min_quality=min_quality).withColumn("split_rg", read_group(df))
-    unknown = chosen.where(F.col("split_rg").isNull() | ~F.col("split_rg").isin(list(catalog.groups))).select("split_rg").first()
-    if unknown is not None:
-        raise ValueError("auxiliary field 'RG' not found" if unknown[0] is None else f"no header for read group {unknown[0]!r}")
-    out = {}
-    for number, (group, fields) in enumerate(catalog.groups.items(), 1):
-        name = expand_template(template, dict(reversed(fields.fields)), number, source, format)
-        out[group] = write_alignments(chosen.where(F.col("split_rg") == group).drop("split_rg"), catalog, f"{folder}/{name}", format)[0]
+    folder, run_id = as_uri(folder), uuid.uuid4().hex
+    names = {g: f"{folder}/{expand_template(template, dict(reversed(h.fields)), i, source, format)}" for i, (g, h) in enumerate(catalog.groups.items(), 1)}
+    chosen = filter_reads(df, *flags, min_quality=min_quality)
+    group = read_group(chosen)
+    missing = F.raise_error(F.when(group.isNull(), "auxiliary field 'RG' not found").otherwise(F.concat(F.lit("no header for read group "), group))).cast("string")
+    known = F.when(F.coalesce(group.isin(list(names)), F.lit(False)), group).otherwise(missing)
+    columns = _columns(chosen, format)
+    ship(df.sparkSession)
+    rows = chosen.withColumn("split_rg", known).repartition(max(1, len(names)), "split_rg").sortWithinPartitions("split_rg", *order).select("split_rg", *columns)
+
+    def run(batches):
+        sink, now, done = None, None, []
+        for batch in batches:
+            groups, start = batch.column("split_rg").to_pylist(), 0
+            while start < len(groups):
+                stop = next((i for i in range(start, len(groups)) if groups[i] != groups[start]), len(groups))
+                if groups[start] != now:
+                    if sink:
+                        sink.close()
+                    now, sink = groups[start], _Sink(f"{folder}/.{run_id}-{uuid.uuid4().hex}", catalog, format, True)
+                    done.append((now, sink.name))
+                sink.write(batch.slice(start, stop - start))
+                start = stop
+        if sink:
+            sink.close()
+        yield pa.RecordBatch.from_pydict({"rg": pa.array([g for g, _ in done], pa.string()), "name": pa.array([n for _, n in done], pa.string())})
+
+    written = {r["rg"]: r["name"] for r in rows.mapInArrow(run, "rg string, name string").collect()}
+    for g, target in names.items():
+        if g in written:
+            _rename(written[g], target)
+        else:
+            _Sink(target, catalog, format, True).close()
     if copy_to is not None:
-        write_alignments(chosen.drop("split_rg"), catalog, copy_to, format)
-    return out
+        write_alignments(chosen.orderBy(*order), catalog, copy_to, format)
+    return names
 
 
 def heads(*paths: str) -> str:
