@@ -18,6 +18,7 @@ def ship(spark: SparkSession) -> None:
     Python workers import the functions that they run; a cluster's workers
     do not see the driver's folders, so the package goes along as a zip file.
     """
+    bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -32,6 +33,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def _bytes(text: str) -> int:
+    """A size setting in bytes; 0 if it has a unit, which is then set anew."""
+    text = text.strip().lower().removesuffix("b")
+    return int(text) if text.lstrip("-").isdigit() else 0
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the bytes of an Arrow batch, as texts may be long.
+
+    A batch of Spark's default of 10,000 rows lies in memory several times, in
+    the JVM and in Python. Settings that a user made smaller stay.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = _bytes(spark.conf.get(name))
+    if now <= 0 or now > most:
+        spark.conf.set(name, str(most))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > 4096:
+        spark.conf.set(name, "4096")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
