@@ -32,7 +32,7 @@ from readloom.llm.arrow import add_columns
 _MARK = "▁"
 _LONGEST_PIECE = 16
 _BLOCK = 4096
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FLOOR = 1e-9
 
