@@ -327,12 +327,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def _forget() -> None:
-    for own in _encoders.values():
-        own.known = {}
-
-
-at_end.append(_forget)
+at_end.append(_encoders.clear)
 
 
 def decode_ids(vocabulary: Vocabulary, ids: bytes) -> bytes:

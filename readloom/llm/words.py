@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from readloom.llm.arrow import at_end
+
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -31,6 +33,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _forget() -> None:
+    _powers[:] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+at_end.append(_forget)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of a 64-bit hash over all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
