@@ -12,9 +12,13 @@ rescored exactly. Results are the same as those of a full scan.
 Queries reach the blocks in blocks of their own (a stated query set against all
 rows); every block returns k rows for each query, and one window merges them.
 
+Pairs in which a vector has components too large for sums in 64 bits are left out
+of the index: rounded scores with a bound of their error choose few of them, and
+these are scored in whole numbers of any size.
+
 Defined results: vectors that are null, empty or hold a null or non-finite
-component take no part, nor do those whose integer components exceed 2^26 in
-size or whose vec_id is null; rows that share a vec_id are one vector, the
+component take no part, nor do those whose vec_id is null; a score among a
+query's k best that does not fit 64 bits raises; rows that share a vec_id are one vector, the
 least of them; a query never meets its own vec_id; only vectors of the query's
 length are candidates; ties go to the smaller vec_id; a query with fewer than
 k candidates gets all of them; extra columns are ignored.
@@ -29,15 +33,16 @@ from pyspark.sql import functions as F
 
 from readloom.session import ship
 
-_LIMIT = float(1 << 26)
 _LEVELS = 16
 _RESULT = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """(vec_id, v): v holds floor(scale * x) of each component x as a double."""
-    scaled = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * float(scale)))
-    fine = F.forall(F.col(vector_col), lambda x: F.coalesce(F.abs(x.cast("double") * float(scale)) < _LIMIT, F.lit(False)))
+    # From 2^52 on a double has no fraction.
+    floor = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+    scaled = F.transform(F.col(vector_col), lambda x: floor(x.cast("double") * float(scale)))
+    fine = F.forall(F.col(vector_col), lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     valid = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & fine & F.col(id_col).isNotNull()
     kept = df.where(valid).select(F.col(id_col).cast("bigint").alias("vec_id"), scaled.alias("v"))
     return kept.groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -98,7 +103,30 @@ class ImpactIndex:
 def _unpack(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(frame["vec_id"].to_numpy(), kind="stable")
     ids = frame["vec_id"].to_numpy()[order]
-    return ids, np.stack([np.asarray(frame["v"].iloc[i], dtype=np.int64) for i in order])
+    return ids, np.stack([np.asarray(frame["v"].iloc[i], dtype=np.float64) for i in order])
+
+
+def fits(vectors: np.ndarray) -> np.ndarray:
+    """Which vectors the index can take: its sums over all components stay below 2^63."""
+    bits = min(26, (60 - int(vectors.shape[1] - 1).bit_length()) // 2)
+    return np.abs(vectors).max(axis=1) < float(1 << bits)
+
+
+def exact_best(ids: np.ndarray, vectors: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, list[int]]:
+    """(rows, scores) of the k best vectors, for components of any size."""
+    if not (np.isfinite(q).all() and np.isfinite(vectors).all()):
+        raise OverflowError("a scaled component does not fit a double")
+    alive = np.flatnonzero(ids != own)
+    if len(alive) > k:
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = vectors[alive] @ q
+            error = (np.abs(vectors[alive]) @ np.abs(q)) * ((len(q) + 2) * 2.0**-52)
+            low, high = rough - error, rough + error
+        if np.isfinite(low).all() and np.isfinite(high).all():
+            alive = alive[high >= np.partition(low, len(low) - k)[len(low) - k]]
+    whole = [int(x) for x in q]
+    scored = sorted((-sum(int(x) * y for x, y in zip(vectors[i], whole)), int(ids[i]), i) for i in alive)[:k]
+    return np.array([i for _, _, i in scored], dtype=np.int64), [-s for s, _, _ in scored]
 
 
 def search(queries: DataFrame, vectors: DataFrame, k: int = 10, block_cells: int = 1 << 20, query_rows: int = 1024) -> DataFrame:
@@ -123,14 +151,33 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, block_cells: int
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(qs) and len(vs):
             ids, matrix = _unpack(vs)
-            index = ImpactIndex(ids, matrix)
-            for own, q in zip(*_unpack(qs)):
-                rows, scores = index.search(q, own, k)
-                out["query_id"].extend([own] * len(rows))
-                out["vec_id"].extend(ids[rows].tolist())
-                out["score"].extend(scores.tolist())
-        return pd.DataFrame(out).astype("int64")
+            small = fits(matrix)
+            large_ids, large = ids[~small], matrix[~small]
+            small_ids, index = ids[small], None
+            if len(small_ids):
+                index = ImpactIndex(small_ids, matrix[small].astype(np.int64))
+            query_ids, queries_ = _unpack(qs)
+            for own, q, is_small in zip(query_ids, queries_, fits(queries_)):
+                found = []
+                if not is_small:
+                    found.append((ids, *exact_best(ids, matrix, q, own, k)))
+                else:
+                    if index is not None:
+                        rows, scores = index.search(q.astype(np.int64), own, k)
+                        found.append((small_ids, rows, scores.tolist()))
+                    if len(large_ids):
+                        found.append((large_ids, *exact_best(large_ids, large, q, own, k)))
+                for of, rows, scores in found:
+                    if any(s >= 1 << 63 for s in scores):
+                        raise OverflowError(f"a score of query {own} does not fit 64 bits")
+                    out["query_id"].extend([own] * len(rows))
+                    out["vec_id"].extend(of[rows].tolist())
+                    # Below 64 bits: null sorts last, and raises only if it is among the k best of all blocks.
+                    out["score"].extend(s if s >= -(1 << 63) else None for s in scores)
+        return pd.DataFrame({name: pd.array(x, dtype="Int64") for name, x in out.items()})
 
     found = left.cogroup(right).applyInPandas(match, _RESULT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", F.coalesce("score", F.raise_error(F.lit("a score does not fit 64 bits")).cast("bigint")).alias("score")
+    )

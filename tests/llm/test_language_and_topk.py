@@ -97,6 +97,30 @@ def test_topk_with_ties_and_odd_rows(spark, seed):
     assert run(spark, []) == []
 
 
+def test_topk_keeps_every_finite_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 8) / 4]) for i in range(250)]
+    # Sizes over 2^26 and over 2^53, as candidates and as queries; -1e12 by 1e12 fits no long but is no hit.
+    for i, x in ((3, 65536.0), (4, -70000.0), (100, 2.5e5), (5, 1e3), (200, 1e12), (6, -1e12)):
+        rows[i] = (i, [x] + [0.0] * 7)
+    rows[0] = (0, [0.0, 0.5, -0.5, 0.25, 0.5, 0.0, 0.25, 0.5])
+    rows[7][1][3], rows[8][1][3] = 1e12, 3e12
+    rows[200][1][0], rows[200][1][1] = 0.0, 1e12
+    rows[6] = (6, [0.0, -1e12] + [0.0] * 6)
+    exact = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 100, 200):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q)[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert {3, 7, 8} <= {i for _, _, i, _ in want}
+    for block_cells in (80, 1 << 20):
+        assert run(spark, rows, block_cells=block_cells) == want
+    with pytest.raises(Exception, match="fit 64 bits"):
+        run(spark, [(100, [1e12, 0.0]), (1, [1e12, 0.0])])
+    with pytest.raises(Exception, match="fit 64 bits"):
+        run(spark, [(100, [1e12, 0.0]), (1, [-1e12, 0.0])])
+
+
 def test_scan_stops_early_only_on_proof():
     rng = np.random.default_rng(3)
     vectors = rng.integers(-20, 20, (3000, 16))
