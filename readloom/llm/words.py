@@ -100,7 +100,7 @@ def shingles(text: WordText, size: int) -> tuple[np.ndarray, np.ndarray]:
     hashes = mix(text.hash)
     total = len(hashes)
     out = np.zeros(total, dtype=np.uint64)
-    for k in range(size):
+    for k in range(min(size, total)):
         out[: total - k] += hashes[k:] * _FACTORS[k]
     doc = np.repeat(np.arange(len(n)), n)
     place = np.arange(total) - np.repeat(text.first[:-1], n)

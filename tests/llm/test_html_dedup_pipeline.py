@@ -201,3 +201,14 @@ def test_pipeline(spark):
             want[i] = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == want and 0 < len(got) < len(docs)
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_short_text_alone_in_a_batch(size):
+    for n in range(size + 2):
+        text = " ".join("abcdefg"[:n])
+        doc, found = words.shingles(words.WordText(text.encode(), [len(text)], words.NOT_BLANK), size)
+        # The same as beside another text.
+        both = text + "u v w x y z"
+        doc_2, found_2 = words.shingles(words.WordText(both.encode(), [len(text), len(both) - len(text)], words.NOT_BLANK), size)
+        assert doc.tolist() == [0] * len(words.shingle_set(text, size)) and found.tolist() == found_2[doc_2 == 0].tolist()
