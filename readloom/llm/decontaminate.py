@@ -3,7 +3,7 @@
 Documents are cut into shards of a few megabytes. A shard's words become
 numbers (those of the benchmark's words; all others are one number that matches
 nothing), and its suffix array holds the word positions in the order of the
-text that follows them. Every benchmark suffix is binary-searched in it; equal
+text that follows them, compared to window depth. Every benchmark window is binary-searched in it; equal
 neighbours give all places of a window, and windows that follow each other in
 both texts join to the longest verbatim match.
 
