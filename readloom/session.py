@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
+_scratch: dict[str, SparkSession] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,7 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one that the cluster names in ``spark.checkpoint.dir``. Only
-    where that is unset, as in tests on one machine, a local folder is used.
+    where that is unset and all runs on one machine, as in tests, a local folder
+    is used; on a cluster a missing setting raises.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
@@ -67,13 +73,41 @@ def shared_dir(spark: SparkSession) -> str:
         jvm_dir = context._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return str(jvm_dir.get())
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="readloom-shared-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
-def checkpoint(df):
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder; it goes when the driver ends, or with clean()."""
+    top = f"{shared_dir(spark).rstrip('/')}/readloom-{spark.sparkContext.applicationId}"
+    if top not in _scratch:
+        _scratch[top] = spark
+        atexit.register(clean, spark)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all that this application has written to the shared folder; results not yet read need it."""
+    for top in [x for x, own in _scratch.items() if own is spark]:
+        # The JVM may be gone already when the driver ends.
+        with contextlib.suppress(Exception):
+            path = spark._jvm.org.apache.hadoop.fs.Path(top)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            del _scratch[top]
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in the shared folder: cut off, and of a size that the planner knows."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder; survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
