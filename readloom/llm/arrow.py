@@ -23,6 +23,16 @@ SMALL = 2 << 20
 at_end: list[Callable[[], None]] = []
 
 
+def release() -> None:
+    """Drops what modules keep, and gives free memory back to the system."""
+    for forget in at_end:
+        forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """A task's function that gives its memory back at the end.
 
@@ -35,12 +45,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            for forget in at_end:
-                forget()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return wrapped
 
