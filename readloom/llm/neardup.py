@@ -25,8 +25,9 @@ A pair at the threshold of 0.8 is missed by the tables with probability
 2 * 0.36^m (m = 12: 1e-5); pairs above it are missed less.
 
 Defined results: a null or wordless text has an empty set and links with
-nothing; fewer words than the shingle size are one shingle; rows of one id are
-one document of the graph, for whose links its least text stands; a null id is never linked to others except by an
+nothing; fewer words than the shingle size are one shingle; rows of one
+id and different texts get components of their own, in which the id stands for
+its least text; a null id is never linked to others except by an
 equal set, whose smallest id it takes; an empty table gives no rows; extra
 columns are ignored by ``group`` and stay in ``deduplicate``, whatever their
 names.
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from readloom.llm import words
 from readloom.llm.arrow import by_bytes, map_batches, sizes_of, text_bytes, tidy
 from readloom.llm.graph import components
-from readloom.session import shared_dir, ship
+from readloom.session import saved, ship
 
 M, R = 12, 2
 BINS = 256
@@ -54,20 +55,17 @@ _BLOCK = 1024
 _SEEDS = words.mix(np.arange(1, 2 * M * R + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder: its size is known to the planner."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/neardup-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _shingled(batch, size: int):
     data, sizes = text_bytes(batch.column("text"))
     return words.shingles(words.WordText(data, sizes, words.NOT_BLANK), size)
 
 
+def _text_hash(text):
+    return F.xxhash64(text)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, key, sig, bins): set size, digest of the set, minima, histogram."""
+    """(id, text_hash, n, key, sig, bins): set size, digest of the set, minima, histogram."""
 
     def make():
         def work(batch):
@@ -90,6 +88,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             packed = bins.astype(np.uint8)
             return [
                 batch.column("id"),
+                batch.column("text_hash"),
                 pa.array(n, pa.int64()),
                 pa.array(keys, pa.binary()),
                 pa.array([s.tobytes() for s in sig], pa.binary()),
@@ -98,7 +97,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
         return work
 
-    return map_batches(docs, "id bigint, n bigint, key binary, sig binary, bins binary", "text", make)
+    return map_batches(docs, "id bigint, text_hash bigint, n bigint, key binary, sig binary, bins binary", "text", make)
 
 
 def _postings(docs: DataFrame, size: int) -> DataFrame:
@@ -172,7 +171,7 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets of both texts link."""
     ship(pairs.sparkSession)
-    pairs = _saved(pairs)
+    pairs = saved(pairs, "neardup")
     texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     left = texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a"))
@@ -285,9 +284,15 @@ def _rest(nodes: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n, component) of each document: set size, smallest id of its group."""
+    """(id, n, component) of each row: set size, smallest id of its group."""
+    return _grouped(docs, id_col, text_col, size, percent).select("id", "n", "component")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(id, text_hash, n, component) of each row."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = _saved(signatures(plain, size))
+    plain = plain.withColumn("text_hash", _text_hash(F.col("text")))
+    every = saved(signatures(plain, size), "neardup")
     sets = every.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "sig", "bins"), "id").alias("first"))
     reps = sets.where(F.col("rep").isNotNull()).select("key", "rep", "first")
     firsts = reps.select(F.col("rep").alias("id"), "first.*")
@@ -298,7 +303,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     lonely = alone.groupBy(F.col("lo").alias("l_id")).agg(F.count(F.lit(1)).alias("u"))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100.0)
     nodes = firsts.join(lonely, F.col("id") == F.col("l_id"), "left").where(F.coalesce("u", F.lit(0)) <= most)
-    nodes = _saved(nodes.select("id", "n", "sig", "bins"))
+    nodes = saved(nodes.select("id", "n", "sig", "bins"), "neardup")
     keys = _half_keys(nodes, 2 * M)
     leader = keys.groupBy(F.col("half").alias("l_half")).agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1")
     pairs = keys.join(leader, F.col("half") == F.col("l_half")).where("a < id").select("a", F.col("id").alias("b"), F.col("n").alias("n_b")).distinct()
@@ -306,20 +311,24 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     pairs = pairs.join(bins.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("bins").alias("bins_a")), F.col("a") == F.col("id_a"))
     pairs = pairs.where(_fits(percent, "n_a", "n_b"))
     pairs = pairs.join(bins.select(F.col("id").alias("id_b"), F.col("bins").alias("bins_b")), F.col("b") == F.col("id_b"))
-    links = _saved(_verify(_leader_filter(pairs, percent).select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), plain, size, percent))
-    comp = _saved(components(links))
-    more = _saved(_verify(_rest(nodes, comp, percent), plain, size, percent))
+    links = saved(_verify(_leader_filter(pairs, percent).select(F.col("b").alias("a"), F.col("a").alias("b")).distinct(), plain, size, percent), "neardup")
+    comp = saved(components(links), "neardup")
+    more = saved(_verify(_rest(nodes, comp, percent), plain, size, percent), "neardup")
     comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a > b").union(more.select("a", "b")))
 
     label = every.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("rep")).where(F.col("rep").isNotNull())
     label = label.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("s_key"), F.coalesce("component", "rep").alias("s_comp"))
-    rows = every.select("id", "n", "key").join(label, F.col("key") == F.col("s_key"), "left")
-    return rows.select("id", "n", F.coalesce("s_comp", "id").alias("component"))
+    rows = every.select("id", "text_hash", "n", "key").join(label, F.col("key") == F.col("s_key"), "left")
+    return rows.select("id", "text_hash", "n", F.coalesce("s_comp", "id").alias("component"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that are not the first of their group."""
-    found = group(docs, id_col, text_col, size, percent).where("id <> component").select("id").distinct()
-    name = f"gone_{uuid.uuid4().hex}"
-    gone = _saved(found).withColumnRenamed("id", name)
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col(name), "left_anti").select(*docs.columns)
+    """The documents without those that are not the first of their group.
+
+    Rows leave by id and text: of rows that share an id, each stays or goes by its own text.
+    """
+    found = _grouped(docs, id_col, text_col, size, percent).where("id <> component").select("id", "text_hash").distinct()
+    tag = uuid.uuid4().hex
+    gone = saved(found, "neardup").toDF(f"gone_id_{tag}", f"gone_hash_{tag}")
+    same = (F.col(id_col).cast("bigint") == F.col(f"gone_id_{tag}")) & (_text_hash(F.col(text_col).cast("string")) == F.col(f"gone_hash_{tag}"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

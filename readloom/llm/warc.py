@@ -8,9 +8,13 @@ and store no payload.
 
 Archives are written by the tasks into the folder that all machines share,
 under names that no other attempt of a task uses; only files named in the
-checkpointed list of a finished write are read, so lost executors and repeated
+saved list of a finished write are read, so lost executors and repeated
 tasks leave neither gaps nor doubles.
 
+Payloads that more than one page in ``_HOT`` has are at most ``_HOT`` by
+arithmetic: these go to the pages by broadcast, so that no large group of equal
+pages meets in one task. All others are joined by shuffle.
+
 Defined results: a null html is the empty payload; a null url gives no target;
 rows that repeat the smallest page_id of a payload are all responses; a null
 page_id is never the smallest, and if a payload has no other, all its records
@@ -30,10 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import checkpoint, shared_dir, ship
+from readloom.llm.arrow import by_bytes, sizes_of, tidy
+from readloom.session import saved, scratch, ship
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PIECE = 1 << 16
+_HOT = 10_000
 
 
 class WarcError(ValueError):
@@ -48,17 +54,22 @@ def _safe(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
+def record_id(page_id: int | None) -> str:
+    """The id of a page's response, to which revisits refer."""
+    return f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:x-page:{page_id}>"
+
+
 def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str, level: int = 6) -> bytes:
     """One record as a gzip member of its own."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"),
+        ("WARC-Record-ID", record_id(page_id if refers_to is None else None)),
         ("WARC-Date", date),
         ("WARC-Target-URI", None if url is None else _safe(url)),
         ("WARC-Profile", None if refers_to is None else _PROFILE),
-        ("WARC-Refers-To", None if refers_to is None else f"<urn:page:{refers_to}>"),
+        ("WARC-Refers-To", None if refers_to is None else record_id(refers_to)),
         ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"),
         ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
         ("WARC-Page-ID", None if page_id is None else str(page_id)),
@@ -161,38 +172,48 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("bigint").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    ).withColumn("payload_key", F.sha2(F.col("html").cast("binary"), 256))
-    first = keyed.groupBy(F.col("payload_key").alias("first_key")).agg(F.min("page_id").alias("first_id"))
-    return keyed.join(first, F.col("payload_key") == F.col("first_key"), "left").select(
-        "page_id", "url", "html", F.when(F.col("first_id").eqNullSafe(F.col("page_id")), None).otherwise(F.col("first_id")).alias("refers_to")
-    )
+    ).withColumn("payload_key", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
+    first = saved(keyed.groupBy(F.col("payload_key").alias("key")).agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "warc-payloads")
+    most = max(1, (first.agg(F.sum("n")).first()[0] or 0) // _HOT)
+    hot = first.where(F.col("n") > most).select(F.col("key").alias("hot_key"), F.col("first_id").alias("hot_id"))
+    rest = first.where(F.col("n").between(2, most)).select(F.col("key").alias("rest_key"), F.col("first_id").alias("rest_id"))
+    rows = keyed.join(F.broadcast(hot), F.col("payload_key") == F.col("hot_key"), "left")
+    # Pages already served get keys of their own, which spread.
+    key = F.when(F.col("hot_key").isNull(), F.col("payload_key")).otherwise(F.concat(F.lit("page ").cast("binary"), F.coalesce(F.col("page_id"), F.lit(0)).cast("string").cast("binary")))
+    rows = rows.withColumn("payload_key", key).join(rest, F.col("payload_key") == F.col("rest_key"), "left")
+    first_id = F.coalesce("hot_id", "rest_id")
+    return rows.select("page_id", "url", "html", F.when(first_id.eqNullSafe(F.col("page_id")), None).otherwise(first_id).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Writes archives; gives their list (path, n_records), checkpointed."""
+    """Writes archives; gives their list (path, n_records), saved."""
     ship(pages.sparkSession)
 
+    @tidy
     def run(batches):
         context, stream, path, size, count = TaskContext.get(), None, "", 0, 0
         for batch in batches:
-            html = batch.column("html")
-            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to")))
-            for i, (page_id, url, refers_to) in enumerate(rows):
-                if stream is None:
-                    path, size, count = f"{folder}/part-{context.partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    stream = _open(path, True)
-                record = make_record(page_id, url, html[i].as_buffer().to_pybytes(), refers_to, date)
-                stream.write(record)
-                size, count = size + len(record), count + 1
-                if size >= archive_bytes:
-                    stream.close()
-                    stream = None
-                    yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [count]})
+            for a, b in by_bytes(sizes_of(batch.column("html"))):
+                part = batch.slice(a, b - a)
+                html = part.column("html")
+                rows = zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "refers_to")))
+                for i, (page_id, url, refers_to) in enumerate(rows):
+                    if stream is None:
+                        path, size, count = f"{folder}/part-{context.partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0, 0
+                        stream = _open(path, True)
+                    record = make_record(page_id, url, html[i].as_buffer().to_pybytes(), refers_to, date)
+                    stream.write(record)
+                    size, count = size + len(record), count + 1
+                    if size >= archive_bytes:
+                        stream.close()
+                        stream = None
+                        yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [count]})
         if stream is not None:
             stream.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [count]})
 
-    return checkpoint(mark_revisits(pages).mapInArrow(run, "path string, n_records bigint"))
+    # The list has a row for each archive: a few files hold it.
+    return saved(mark_revisits(pages).mapInArrow(run, "path string, n_records bigint").repartition(4), "warc-list")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -210,9 +231,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
             len(payload) if whole else number(fields.get("warc-payload-length")),
             base32_sha1(payload) if whole else fields["warc-payload-digest"].removeprefix("sha1:"),
             fields["warc-type"],
-            number(refers[len("<urn:page:") : -1]) if refers else None,
+            number(refers[len("<urn:x-page:") : -1]) if refers else None,
         )
 
+    @tidy
     def run(batches):
         for batch in batches:
             for path, n in zip(batch.column("path").to_pylist(), batch.column("n_records").to_pylist()):
@@ -229,12 +251,14 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
-    return archives.select("path", "n_records").mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    spark = archives.sparkSession
+    parts = max(1, min(archives.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return archives.select("path", "n_records").repartition(parts).mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages to archives in the shared folder and reads them back."""
-    folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = scratch(pages.sparkSession, "warc")
     if "://" not in folder and folder.startswith("file:"):
         folder = "file://" + folder[len("file:") :]
     return read_archives(write_archives(pages, folder))

@@ -161,6 +161,22 @@ def test_warc_round_trip(spark):
     assert got == sorted(want, key=str)
 
 
+def test_warc_with_a_hot_payload(spark, monkeypatch):
+    monkeypatch.setattr(warc, "_HOT", 10)
+    rows = [(i, "u", "hot" if i % 3 else "warm" if i % 30 else f"own {i}") for i in range(1, 301)] + [(None, "u", "hot"), (1, "u", "hot")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).select("page_id", "record_type", "refers_to").collect()
+    least = {"hot": 1, "warm": 3}
+    want = [(i, *(("response", None) if least.get(t, i) == i else ("revisit", least[t]))) for i, _, t in rows]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_warc_revisits_name_a_record():
+    first = next(warc.read_records(io.BytesIO(warc.make_record(1, "u", b"x", None, "d"))))[0]
+    again = next(warc.read_records(io.BytesIO(warc.make_record(2, "u", b"x", 1, "d"))))[0]
+    assert again["warc-refers-to"] == first["warc-record-id"] != again["warc-record-id"]
+
+
 def test_warc_reader_refuses_damage():
     whole = warc.make_record(1, "u", b"payload" * 100, None, "d") + warc.make_record(2, "u", b"payload" * 100, 1, "d")
     assert [f["warc-type"] for f, _ in warc.read_records(io.BytesIO(whole))] == ["response", "revisit"]
