@@ -10,8 +10,8 @@ piece of n bytes. Short pieces are merged many at a time, one row of a numpy
 matrix for each tree; long ones (a text without any blank) one by one.
 
 Defined results: a null text is the empty text, which has no ids; ids outside
-the vocabulary raise when decoding; repeated rows give repeated results;
-extra columns are ignored, whatever their names.
+the vocabulary raise when decoding; repeated rows give repeated results; an
+empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,13 +64,21 @@ class Vocabulary:
         self.full = regex.compile(full)
         quick = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
         self.has_quick = pattern == quick
-        self.pair = {}
+        self.pair: dict[int, int] = {}
+
+    def for_merging(self) -> Vocabulary:
+        """Builds the pairs, which only encoding needs."""
+        if self.pair:
+            return self
+        pieces = [self.blob[a : a + n].tobytes() for a, n in zip(self.start.tolist(), self.length.tolist())]
+        ranks = {piece: rank for rank, piece in enumerate(pieces) if piece}
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
                 left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if left is not None and right is not None:
                     self.pair[left * self.size + right] = rank
         self._build_table()
+        return self
 
     def _build_table(self) -> None:
         keys = np.fromiter(self.pair.keys(), dtype=np.int64, count=len(self.pair))
@@ -252,7 +260,7 @@ class Encoder:
     """Encodes texts; keeps the ids of recent pieces, up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary = vocabulary.for_merging()
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
@@ -320,14 +328,24 @@ class Encoder:
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
+_vocabularies: dict[tuple[str, str], Vocabulary] = {}
+
+
+def vocabulary(path: str, pattern: str) -> Vocabulary:
+    """This process's vocabulary of a file."""
+    if (path, pattern) not in _vocabularies:
+        _vocabularies[path, pattern] = Vocabulary(path, pattern)
+    return _vocabularies[path, pattern]
+
+
 def encoder(path: str, pattern: str) -> Encoder:
     """This process's encoder for a vocabulary file."""
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(Vocabulary(path, pattern))
+        _encoders[path, pattern] = Encoder(vocabulary(path, pattern))
     return _encoders[path, pattern]
 
 
-at_end.append(_encoders.clear)
+at_end += [_encoders.clear, _vocabularies.clear]
 
 
 def decode_ids(vocabulary: Vocabulary, ids: bytes) -> bytes:
@@ -361,7 +379,7 @@ def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     @tidy
     def run(batches):
-        own = encoder(path, pattern).vocabulary
+        own = vocabulary(path, pattern)
         for batch in batches:
             ids = batch.column("ids")
             sizes = np.asarray(pc.fill_null(pc.binary_length(ids), 0), dtype=np.int64)
