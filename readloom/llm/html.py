@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -41,8 +42,11 @@ HIDDEN = "script style noscript template svg math iframe object textarea select
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
+# A quoted value may hold ">"; a quote that never closes is a plain character.
+_INSIDE = r"""(?>[^>=]+|=\s*(?:"[^"]*"|'[^']*')?)*+"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(HIDDEN) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])" + _INSIDE + r"(?<=/)>|<(" + "|".join(HIDDEN) + r")(?=[\s/>])" + _INSIDE + r">.*?(?:</\1\s*>|\Z)"
+    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + _INSIDE + r")(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -89,17 +93,25 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     root = Node("body", None, frozenset())
     nodes, number, pieces = [root], {id(root): 0}, []
     stack: list[tuple[str, Node | None]] = [("body", root)]
+    blocks = [0]  # places of blocks in the stack
+    open_blocks: Counter = Counter()
+    scopes: list[Counter] = [Counter()]  # open inline elements since the last block other than p
     here, links = root, 0
 
     def pop_to(k: int) -> None:
         nonlocal here, links
-        for name, node in stack[k:]:
-            if name == "a":
-                links -= 1
-            if node is not None:
+        while len(stack) > k:
+            name, node = stack.pop()
+            if node is None:
+                scopes[-1][name] -= 1
+                links -= name == "a"
+            else:
+                blocks.pop()
+                open_blocks[name] -= 1
                 pieces.append((-1, ""))
-        del stack[k:]
-        here = next(node for _, node in reversed(stack) if node is not None)
+                if name != "p":
+                    scopes.pop()
+        here = stack[blocks[-1]][1]
 
     for m in _TOKEN.finditer(html):
         text = m[5]
@@ -119,12 +131,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         name = m[3].lower()
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-                if name not in BLOCKS and stack[k][1] is not None and stack[k][0] != "p":
-                    break
+            if name in BLOCKS:
+                if open_blocks[name]:
+                    pop_to(next(k for k in reversed(blocks) if stack[k][0] == name))
+            elif scopes[-1][name]:
+                pop_to(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name))
             continue
         if not m[0].endswith(">"):
             break  # cut off
@@ -138,26 +149,24 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if name == "body":
             root.tokens |= _tokens(m[4])
             continue
-        if name in ENDS_P or name in SELF_CLOSING:
-            closes = SELF_CLOSING.get(name, set()) | {"p"}
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in closes:
-                    pop_to(k)
-                    break
-                if stack[k][1] is not None:
-                    break
+        if (name in ENDS_P or name in SELF_CLOSING) and len(blocks) > 1 and stack[blocks[-1]][0] in SELF_CLOSING.get(name, set()) | {"p"}:
+            pop_to(blocks[-1])
         if name in BLOCKS:
             node = Node(name, here, _tokens(m[4]))
             number[id(node)] = len(nodes)
             nodes.append(node)
+            blocks.append(len(stack))
             stack.append((name, node))
+            open_blocks[name] += 1
+            if name != "p":
+                scopes.append(Counter())
             pieces.append((-1, ""))
             here = node
         else:
             here.tags += 1
             stack.append((name, None))
-            if name == "a":
-                links += 1
+            scopes[-1][name] += 1
+            links += name == "a"
     for node in reversed(nodes):
         node.chars += node.own
         node.tags += 1
@@ -172,17 +181,19 @@ def features(nodes: list[Node]) -> list[list[float]]:
     inside: dict[int, list[float]] = {}
     out = []
     log = math.log1p
-    for node in nodes:
+    kinds = [Counter(c.tag for c in node.children) for node in nodes]
+    of = {id(node): k for node, k in zip(nodes, kinds)}
+    place_of = {id(c): i for node in nodes for i, c in enumerate(node.children)}
+    for node, below in zip(nodes, kinds):
         up = node.parent
         above = inside[id(up)] if up is not None else [0.0] * (len(_GROUPS) + len(_TAGS))
         own = [1.0 if g in node.tokens else 0.0 for g in _GROUPS] + [1.0 if t == node.tag else 0.0 for t in _TAGS]
         # Of an ancestor's mark half is left at each step down.
         inside[id(node)] = [max(a, b / 2) for a, b in zip(own, above)]
-        siblings = up.children if up is not None else [node]
-        n = len(siblings)
-        same = sum(s.tag == node.tag for s in siblings)
+        n = len(up.children) if up is not None else 1
+        same = of[id(up)][node.tag] if up is not None else 1
         beside = up.chars - node.chars if up is not None else 0
-        place = siblings.index(node) / n if n < 400 else 0.5
+        place = place_of.get(id(node), 0) / n
         out.append(
             own
             + above
@@ -190,7 +201,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
                 log(node.chars), log(node.own), node.chars / total, node.link / max(1, node.chars), node.chars / node.tags,
                 node.marks / max(1, node.words), node.words / max(1, node.texts + len(node.children)), node.depth, n, place,
                 same / n, log(beside), up.link / max(1, up.chars) if up is not None else 0.0,
-                sum(c.tag == "p" for c in node.children), len(node.children),
+                below["p"], len(node.children),
             ]
         )
     return out
@@ -280,6 +291,7 @@ def labelled_page(rnd: random.Random) -> str:
     cut = rnd.randint(0, len(between))
     mark = " data-m"
     inner = []
+    par = rnd.choice(("p", "p", "p", "p", "p", "div"))
     if rnd.random() < 0.85:
         inner.append(f"<h1{mark}>{_sentence(rnd, 1, 12)}</h1>")
     for _ in range(rnd.choice((1, 2, 3, 5, 8, 12, 20))):
@@ -291,7 +303,7 @@ def labelled_page(rnd: random.Random) -> str:
                 text += f' <a href="/x">{_word(rnd)}</a> ' + _sentence(rnd)
             if rnd.random() < 0.12:
                 text = _word(rnd).capitalize() + "."
-            inner.append(f"<p{mark}>{open_b}{text}" + rnd.choice(("</p>", "</p>", "</p>", "<br>")))
+            inner.append(f"<{par}{mark}>{open_b}{text}" + ("</div>" if par == "div" else rnd.choice(("</p>", "</p>", "</p>", "<br>"))))
         elif kind < 0.83:
             inner.append(f"<h2{mark}>{_sentence(rnd, 1, 8)}</h2>")
         elif kind < 0.9:

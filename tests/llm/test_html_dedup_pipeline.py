@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import sys
+import time
 from collections import defaultdict
 from html import unescape
 
@@ -81,6 +82,46 @@ def test_text_of_odd_pages(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_long_pages_take_linear_time():
+    model = html.train()
+    for many in ("<article>" + "<p>Some words, here.</p>" * 20_000, "<article>" + "<b>x <i>y" * 20_000 + "</u></i>" * 20_000, "<div>x" * 20_000 + "</p>" * 20_000, "<p a='" * 20_000, "<b>" * 20_000 + "<p>" * 20_000):
+        begin = time.process_time()
+        html.extract_all(model, [many])
+        assert time.process_time() - begin < 20
+
+
+def test_markup_stays_out():
+    model = html.train()
+    page = """<body><article><h1>T</h1><p title="a > b">Hello there, my friend.</p><svg/><p data-x='<i>'>More text is here.</p><title-card>And a card.</title-card><p it's>And more, again.<svg><text>no</text></svg></article>"""
+    assert html.extract_all(model, [page]) == ["T Hello there, my friend. More text is here. And a card. And more, again."]
+
+
+FOREIGN = {
+    "table": "<body><table><tr><td class=menu><a href=/>Home</a><br><a href=/b>News</a></td><td><h2>{title}</h2><p>{a}</p><p>{b}</p></td></tr></table><div class=foot>All rights reserved by us</div></body>",
+    "divs": "<body><div id=top-nav><a href=/>Start</a> <a href=/x>More</a></div><div id=content><h1>{title}</h1><div>{a}</div><div>{b}</div></div><div class=sidebar><h3>Popular</h3><ul><li><a href=/1>One thing</a><li><a href=/2>Two things</a></ul></div></body>",
+    "main": "<body><header><h2>Site</h2><nav><a href=/>Home</a></nav></header><main><section><h1>{title}</h1><p>{a}</p><blockquote><p>{b}</p></blockquote></section></main><div id=disqus_thread class=comments><p>I do not agree, sorry.</p></div><footer><p>Imprint and contact</p></footer></body>",
+    "post": "<body><ul class=breadcrumb><li><a href=/>Home</a></li><li><a href=/c>Cats</a></li></ul><div class='post hentry'><h1>{title}</h1><div class=entry-content><p>{a}</p><h2>Part</h2><p>{b}</p></div><div class=share-buttons><a href=/t>Tweet</a><a href=/f>Share</a></div></div><div class=cookie-notice><p>We use cookies on this site.</p></div></body>",
+}
+
+
+def foreign_shares(model, pages=100):
+    """Share of right pages of each shape."""
+    out = {}
+    for name, shape in FOREIGN.items():
+        rnd = random.Random(name)
+        right = 0
+        for _ in range(pages):
+            title, a, b = html._sentence(rnd, 2, 7), html._prose(rnd, 2, 7), html._prose(rnd, 2, 7)
+            want = " ".join([title, a, *(["Part"] if name == "post" else []), b])
+            right += html.extract_all(model, [shape.format(title=title, a=a, b=b)]) == [want]
+        out[name] = right / pages
+    return out
+
+
+def test_shapes_unlike_the_templates():
+    assert np.mean(list(foreign_shares(html.train()).values())) >= 0.5
+
+
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {i: i + 32 for i in range(65, 91)}
 
@@ -150,6 +191,12 @@ def test_repeated_rows_and_null_ids(spark):
     assert got == sorted([(1, 1), (1, 1), (None, 1), (None, None), (2, 1), (3, 3)], key=str)
 
 
+def test_rows_of_one_id_leave_by_their_own_text(spark):
+    x, y = "some text that is here twice in the table", "another text that nobody else has at all"
+    df = spark.createDataFrame([(1, x), (2, y), (2, x), (3, None), (3, None)], "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in neardup.deduplicate(df).collect()), key=str) == [(1, x), (2, y), (3, None), (3, None)]
+
+
 def test_components_of_chains_and_stars(spark):
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(rnd.randint(2000, 2100), rnd.randint(2000, 2100)) for _ in range(60)]
