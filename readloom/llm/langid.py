@@ -4,12 +4,15 @@ Each language has a probability for every piece of a fixed public vocabulary.
 A text's probability is the sum over all ways to cut it into pieces, computed
 by the forward algorithm. Pieces do not cross white space, so the sum factors
 over lower-cased words; a word's forward scores are computed once and kept, up to a bound.
+Words of any length are summed whole: long ones go through the same sum with a
+window of the last places in place of all.
 Piece probabilities come from expectation maximisation over the same sums
 (forward-backward), on a sample of labelled rows.
 
 The fit is the one thing that reads a sample: about ``per_language`` labelled
 rows of each language, drawn by a hash of the id among texts of at most
-``most_chars`` characters. Predictions read whole texts.
+``most_chars`` characters; there, words over ``_PART`` characters are cut.
+Predictions read whole texts and whole words.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if no labelled row can be learnt from; characters that no
@@ -30,7 +33,6 @@ from pyspark.sql import functions as F
 from readloom.llm.arrow import add_columns
 
 _MARK = "▁"
-_LONGEST_PIECE = 16
 _BLOCK = 4096
 _KEPT_WORDS = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -48,7 +50,7 @@ def public_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
-    return sorted({p for p in map(model.id_to_piece, plain) if len(p) <= _LONGEST_PIECE})
+    return sorted(set(map(model.id_to_piece, plain)))
 
 
 class Lattice:
@@ -56,6 +58,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces), default=1)
         hashes = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order
@@ -80,28 +83,32 @@ class Lattice:
         found = {}
         for start in range(n):
             h = np.zeros(len(words), dtype=np.uint64)
-            for end in range(start + 1, min(n, start + _LONGEST_PIECE) + 1):
+            for end in range(start + 1, min(n, start + self.longest) + 1):
                 h = (h + codes[:, end - 1] + np.uint64(1)) * _BASE
-                rows = np.flatnonzero(self.filter[(h >> self.shift).astype(np.int64)])
+                rows, ids = self.lookup(h)
                 if len(rows):
-                    at = np.minimum(np.searchsorted(self.hashes, h[rows]), len(self.hashes) - 1)
-                    hit = self.hashes[at] == h[rows]
-                    if hit.any():
-                        found[start, end] = rows[hit], self.ids[at[hit]]
+                    found[start, end] = rows, ids
         return n, found
 
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a flat array of hashes has a piece's, and the pieces' ids."""
+        rows = np.flatnonzero(self.filter[(h >> self.shift).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, h[rows]), len(self.hashes) - 1)
+        hit = self.hashes[at] == h[rows]
+        return rows[hit], self.ids[at[hit]]
 
-def forward(n: int, found: dict, n_rows: int, p: np.ndarray) -> np.ndarray:
+
+def forward(n: int, found: dict, n_rows: int, p: np.ndarray, longest: int) -> np.ndarray:
     """alpha[i] = probability of the first i characters; rows x languages each.
 
     Each position is rescaled by a fixed factor, so that long words do not
-    underflow; word_scores() takes the factor out again.
+    underflow; short_scores() takes the factor out again.
     """
     alpha = np.zeros((n + 1, n_rows, p.shape[1]))
     alpha[0] = 1.0
     for end in range(1, n + 1):
         alpha[end] = alpha[end - 1] * (_FLOOR * _SCALE)
-        for start in range(max(0, end - _LONGEST_PIECE), end):
+        for start in range(max(0, end - longest), end):
             if (start, end) in found:
                 rows, ids = found[start, end]
                 alpha[end][rows] += alpha[start][rows] * (p[ids] * _SCALE ** (end - start))
@@ -110,6 +117,7 @@ def forward(n: int, found: dict, n_rows: int, p: np.ndarray) -> np.ndarray:
 
 _SCALE = 16.0
 _PART = 48
+_CELLS = 1 << 21
 
 
 def _by_length(words: list[str]):
@@ -122,17 +130,67 @@ def _by_length(words: list[str]):
 
 
 def cut(word: str) -> list[str]:
-    """A marked word in parts of bounded length; nearly all words are one part."""
+    """A marked word in parts of bounded length, for the fit; nearly all words are one part."""
     marked = _MARK + word
     return [marked[i : i + _PART] for i in range(0, len(marked), _PART)]
 
 
-def part_scores(lattice: Lattice, p: np.ndarray, parts: list[str]) -> np.ndarray:
-    """Natural log probabilities, parts x languages, summed over segmentations."""
-    out = np.zeros((len(parts), p.shape[1]))
-    for those in _by_length(parts):
-        n, found = lattice.edges([parts[i] for i in those])
-        out[those] = np.log(np.maximum(forward(n, found, len(those), p)[n], 1e-300)) - n * np.log(_SCALE)
+def short_scores(lattice: Lattice, p: np.ndarray, words: list[str]) -> np.ndarray:
+    """Natural log probabilities, words x languages, summed over segmentations."""
+    out = np.zeros((len(words), p.shape[1]))
+    for those in _by_length(words):
+        n, found = lattice.edges([words[i] for i in those])
+        out[those] = np.log(np.maximum(forward(n, found, len(those), p, lattice.longest)[n], 1e-300)) - n * np.log(_SCALE)
+    return out
+
+
+def long_scores(lattice: Lattice, p: np.ndarray, words: list[str]) -> np.ndarray:
+    """The same for words of any length: only the last places' sums are held, rescaled as they go."""
+    out = np.zeros((len(words), p.shape[1]))
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    while order:
+        rows = max(1, min(len(order), _BLOCK, _CELLS // len(words[order[0]])))
+        those, order = order[:rows], order[rows:]
+        sizes = np.array([len(words[i]) for i in those])
+        codes = np.zeros((rows, sizes[0]), dtype=np.uint32)
+        for r, i in enumerate(those):
+            codes[r, : sizes[r]] = np.frombuffer(words[i].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        # Row j: the hash of the last j + 1 characters, and the sum up to where they begin.
+        h = np.zeros((lattice.longest, rows), dtype=np.uint64)
+        alpha = np.zeros((lattice.longest, rows, p.shape[1]))
+        alpha[0] = 1.0
+        log_scale = np.zeros((rows, p.shape[1]))
+        alive = rows
+        for end in range(1, int(sizes[0]) + 1):
+            h[1:] = h[:-1]
+            h[0] = 0
+            h += codes[:, end - 1].astype(np.uint64) + np.uint64(1)
+            h *= _BASE
+            now = alpha[0] * _FLOOR
+            at, ids = lattice.lookup(h[:, :alive].ravel())
+            back, row = at // alive, at % alive
+            np.add.at(now, row, alpha[back, row] * p[ids])
+            for r in range(alive - 1, -1, -1):
+                if sizes[r] > end:
+                    break
+                out[those[r]] = np.log(now[r]) + log_scale[r]
+                alive = r
+            alpha[1:] = alpha[:-1]
+            alpha[0] = now
+            if end % 8 == 0:
+                top = alpha.max(axis=0)
+                alpha /= top
+                log_scale += np.log(top)
+    return out
+
+
+def word_scores(lattice: Lattice, p: np.ndarray, words: list[str]) -> np.ndarray:
+    """Of marked words, short and long."""
+    out = np.zeros((len(words), p.shape[1]))
+    sizes = np.array([len(w) for w in words])
+    for those, scores in ((np.flatnonzero(sizes <= _PART), short_scores), (np.flatnonzero(sizes > _PART), long_scores)):
+        if len(those):
+            out[those] = scores(lattice, p, [words[i] for i in those.tolist()])
     return out
 
 
@@ -154,12 +212,12 @@ def fit(lattice: Lattice, counts: dict[str, dict[str, int]], rounds: int = 4, ad
             expected = np.zeros(len(lattice.pieces))
             for those, n, found in groups:
                 w = np.array([weight[parts[i]] for i in those], dtype=float)
-                alpha = forward(n, found, len(those), q)[:, :, 0]
+                alpha = forward(n, found, len(those), q, lattice.longest)[:, :, 0]
                 beta = np.zeros_like(alpha)
                 beta[n] = 1.0
                 for start in range(n - 1, -1, -1):
                     beta[start] = beta[start + 1] * (_FLOOR * _SCALE)
-                    for end in range(start + 1, min(n, start + _LONGEST_PIECE) + 1):
+                    for end in range(start + 1, min(n, start + lattice.longest) + 1):
                         if (start, end) in found:
                             rows, ids = found[start, end]
                             beta[start][rows] += q[ids, 0] * _SCALE ** (end - start) * beta[end][rows]
@@ -186,13 +244,7 @@ class Model:
         self.scores = np.zeros((1024, len(languages)))
 
     def _learn(self, words: list[str]) -> None:
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for part in cut(w):
-                parts.append(part)
-                owner.append(i)
-        scores = np.zeros((len(words), len(self.languages)))
-        np.add.at(scores, owner, part_scores(self.lattice, self.p, parts))
+        scores = word_scores(self.lattice, self.p, [_MARK + w for w in words])
         if len(self.place) + len(words) > _KEPT_WORDS:
             self.place = {}
         base = len(self.place)

@@ -4,7 +4,7 @@ A host such as ``cheappills`` holds words without blanks between them. A
 unigram model over the words of a public vocabulary gives each word a
 probability (Zipf's law over its rank), and Viterbi decoding finds the split of
 greatest probability. Multinomial naive Bayes scores the tokens of host and
-path. It is fitted on the labelled names below, which are few and fixed; no row
+path: all labels of the host, its port, and digits too. It is fitted on the labelled names below, which are few and fixed; no row
 of the data is used, so a verdict never depends on other rows.
 
 Defined results: a null url, or one without ``://``, has empty host and path
@@ -19,7 +19,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm.arrow import map_batches
 
+_RUNS = re.compile("[a-z]+|[0-9]+|[^\x00-\x7f]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Labelled names on which the classifier is fitted: fixed values.
@@ -145,13 +146,21 @@ class Judge:
         self.model = NaiveBayes({"block": read(BLOCK_NAMES + NEUTRAL_NAMES), "allow": read(ALLOW_NAMES + NEUTRAL_NAMES)}, {"block": block_prior, "allow": 1 - block_prior})
         self.of_host = lru_cache(1 << 16)(self._host_tokens)
 
+    def _runs(self, text: str) -> Iterator[str]:
+        """Words of runs of letters; runs of digits and of characters beyond ASCII as they are."""
+        for run in _RUNS.findall(text):
+            if not "a" <= run[0] <= "z":
+                yield run
+            elif len(run) <= 64:
+                yield from self.segment(run)
+            else:
+                yield from self.words.split(run)
+
     def _host_tokens(self, host: str) -> tuple[str, ...]:
-        labels = host.rsplit("@", 1)[-1].split(".")[:-1] or [host]
-        return tuple(t for x in labels for run in re.findall(r"[a-z]+", x) for t in self.segment(run))
+        return tuple(self._runs(host))
 
     def tokens(self, host: str, path: str) -> list[str]:
-        runs = re.findall(r"[a-z]+", path.translate(str.maketrans(_UPPER, _LOWER)))
-        return [*self.of_host(host), *(t for run in runs for t in (self.segment(run) if len(run) <= 64 else self.words.split(run)))]
+        return [*self.of_host(host), *self._runs(path.translate(str.maketrans(_UPPER, _LOWER)))]
 
     def block_probability(self, tokens: list[str]) -> float:
         return self.model.probability(tokens, "block")

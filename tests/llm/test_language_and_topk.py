@@ -38,8 +38,30 @@ def test_forward_sums_all_segmentations():
         return out
 
     for word in ("▁", "▁abab", "▁axb", "▁bbbb"):
-        got = langid.part_scores(lattice, p, [word])[0]
-        assert np.allclose(got, [math.log(total(word, k)) for k in range(2)])
+        for scores in (langid.short_scores, langid.long_scores, langid.word_scores):
+            got = scores(lattice, p, [word])[0]
+            assert np.allclose(got, [math.log(total(word, k)) for k in range(2)])
+
+
+def test_long_words_are_summed_over_all_segmentations():
+    rng = np.random.default_rng(2)
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab", "ab" * 12]
+    p = rng.random((len(pieces), 3)) / 3
+    lattice = langid.Lattice(pieces)
+    words = ["▁" + "".join(rng.choice(list("abx"), n)) for n in (47, 48, 49, 100, 100, 3000)] + ["▁" + "ab" * 200]
+
+    def log_total(word, k):
+        alpha, scale = [1.0], 0.0
+        for end in range(1, len(word) + 1):
+            now = alpha[-1] * langid._FLOOR + sum(alpha[end - len(x)] * p[i, k] for i, x in enumerate(pieces) if word.endswith(x, 0, end) and len(x) <= end)
+            alpha.append(now)
+            top = max(alpha[-30:])
+            alpha, scale = [x / top for x in alpha], scale + math.log(top)
+        return math.log(alpha[-1]) + scale
+
+    want = [[log_total(w, k) for k in range(3)] for w in words]
+    assert np.allclose(langid.word_scores(lattice, p, words), want)
+    assert np.allclose(langid.long_scores(lattice, p, words), want)
 
 
 def test_language_of_odd_rows(spark):
