@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from readloom.llm.arrow import at_end, by_bytes, tidy
+from readloom.llm.arrow import at_end, by_bytes, sizes_of, tidy
 from readloom.session import ship
 
 _WIDTHS = (8, 16, 32, 64)
@@ -348,6 +348,9 @@ def encoder(path: str, pattern: str) -> Encoder:
 at_end += [_encoders.clear, _vocabularies.clear]
 
 
+_DECODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+
+
 def decode_ids(vocabulary: Vocabulary, ids: bytes) -> bytes:
     """The bytes that packed ids stand for."""
     return vocabulary.bytes_of(np.frombuffer(ids, dtype="<u4"))[0].tobytes()
@@ -364,34 +367,53 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
         own = encoder(path, pattern)
         for batch in batches:
             texts = batch.column("text")
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-            for a, b in by_bytes(sizes):
+            for a, b in by_bytes(sizes_of(texts)):
                 ids = own.encode_all(texts.slice(a, b - a).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.binary())], schema=schema)
 
     return rows.mapInArrow(run, "doc_id bigint, ids binary")
 
 
+def _decoded(own: Vocabulary, ids: pa.Array, most: int):
+    """Pieces of packed ids with their bytes: (first row, rows, ids, decoded)."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(ids), 0), dtype=np.int64)
+    for a, b in by_bytes(sizes.tolist()):
+        part = ids.slice(a, b - a)
+        packed = b"".join(x or b"" for x in part.to_pylist())
+        text, ends = own.bytes_of(np.frombuffer(packed, dtype="<u4"))
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes[a:b]) // 4])]
+        for c, d in by_bytes(np.diff(ends).tolist(), most):
+            offsets = (ends[c : d + 1] - ends[c]).astype(np.int32)
+            data = text[ends[c] : ends[d]].tobytes()
+            yield a + c, d - c, part.slice(c, d - c), pa.Array.from_buffers(pa.binary(), d - c, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+
+
 def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """(id, ids, decoded): decoded is the bytes that the ids stand for."""
     ship(df.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     @tidy
     def run(batches):
         own = vocabulary(path, pattern)
         for batch in batches:
-            ids = batch.column("ids")
-            sizes = np.asarray(pc.fill_null(pc.binary_length(ids), 0), dtype=np.int64)
-            for a, b in by_bytes(sizes.tolist()):
-                part = ids.slice(a, b - a)
-                packed = b"".join(x or b"" for x in part.to_pylist())
-                text, ends = own.bytes_of(np.frombuffer(packed, dtype="<u4"))
-                ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes[a:b]) // 4])]
-                for c, d in by_bytes(np.diff(ends).tolist(), 1 << 30):
-                    offsets = (ends[c : d + 1] - ends[c]).astype(np.int32)
-                    data = text[ends[c] : ends[d]].tobytes()
-                    decoded = pa.Array.from_buffers(pa.binary(), d - c, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a + c, d - c), part.slice(c, d - c), decoded], schema=schema)
+            for a, n, ids, decoded in _decoded(own, batch.column("ids"), 1 << 30):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), ids, decoded], schema=_DECODED)
 
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode()) by one worker for each task."""
+    ship(df.sparkSession)
+    rows = df.select(df[id_col].alias("doc_id"), df[text_col].cast("string").alias("text"))
+
+    @tidy
+    def run(batches):
+        own = encoder(path, pattern)
+        for batch in batches:
+            for a, b in by_bytes(sizes_of(batch.column("text"))):
+                packed = pa.array(own.encode_all(batch.column("text").slice(a, b - a).to_pylist()), pa.binary())
+                for c, n, ids, decoded in _decoded(own.vocabulary, packed, 1 << 30):
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a + c, n), ids, decoded], schema=_DECODED)
+
+    return rows.mapInArrow(run, "doc_id bigint, ids binary, decoded binary")

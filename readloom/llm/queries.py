@@ -84,8 +84,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
     path, pattern = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
-    ids = bpe.encode(_table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.decode(ids, path, pattern).select(
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

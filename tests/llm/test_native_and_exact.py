@@ -265,6 +265,16 @@ def test_bpe_equals_the_library(spark, docs):
     assert sorted(bytes(r.decoded) for r in got) == sorted((t or "").encode() for _, t, _ in DOCS)
 
 
+def test_bpe_in_one_pass_and_in_two(spark, docs):
+    import public_tokenizers as tokenizers
+
+    own = tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN
+    df = spark.createDataFrame([(1, "some text"), (2, None), (3, ""), (3, "é 語 " * 1000), (None, "x" * 5000)], "doc_id bigint, text string")
+    one, two = bpe.round_trip(df, *own), bpe.decode(bpe.encode(df, *own), *own)
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str) and bpe.round_trip(df.where("false"), *own).count() == 0
+    assert all(bytes(r.decoded).decode() == (t or "") for r, t in zip(one.where("doc_id = 1").collect(), ["some text"]))
+
+
 def test_bpe_of_odd_texts():
     import random
 
