@@ -39,7 +39,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed as little-endian unsigned 32-bit integers), checked by decoding; a null or empty text has none."""
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, path, tokenizers.PATTERN), path, tokenizers.PATTERN)
+    decoded = bpe.round_trip(docs, path, tokenizers.PATTERN)
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
