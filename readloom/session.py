@@ -44,7 +44,7 @@ def _bytes(text: str) -> int:
     return int(text) if text.lstrip("-").isdigit() else 0
 
 
-def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Bounds the bytes of an Arrow batch, as texts may be long.
 
     A batch of Spark's default of 10,000 rows lies in memory several times, in
