@@ -12,23 +12,31 @@ SIZES = {"A": 4, "c": 4, "C": 4, "s": 5, "S": 5, "i": 7, "I": 7, "f": 7, "d": 11
 INTEGERS = tuple("cCsSiI")
 
 
+def _parts(x: Column) -> tuple[Column, Column]:
+    return F.substring(x, F.lit(6), F.length(x)), F.substring(x, 4, 1)
+
+
+def aux_fits(x: Column) -> Column:
+    """Whether a text is a well-formed field."""
+    value, kind = _parts(x)
+    fits = (
+        F.when(kind == "i", value.rlike("^[-+]?[0-9]+$"))
+        .when(kind == "A", F.length(value) == 1)
+        .when(kind == "f", value.rlike(r"^[-+]?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?$|^[-+]?(inf|nan)$"))
+        .when(kind == "H", value.rlike("^([0-9A-Fa-f]{2})*$"))
+        .otherwise(kind.isin("Z", "B", "d"))
+    )
+    return (F.length(x) >= 5) & (F.substring(x, 3, 1) == ":") & (F.substring(x, 5, 1) == ":") & fits
+
+
 def aux_parse(fields: Column) -> Column:
     """Fields from texts ``TG:T:VALUE``; malformed ones raise."""
 
     def one(x: Column) -> Column:
-        good = (F.length(x) >= 5) & (F.substring(x, 3, 1) == ":") & (F.substring(x, 5, 1) == ":")
-        value = F.substring(x, F.lit(6), F.length(x))
-        kind = F.substring(x, 4, 1)
-        fits = (
-            F.when(kind == "i", value.rlike("^[-+]?[0-9]+$"))
-            .when(kind == "A", F.length(value) == 1)
-            .when(kind == "f", value.rlike(r"^[-+]?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?$|^[-+]?(inf|nan)$"))
-            .when(kind == "H", value.rlike("^([0-9A-Fa-f]{2})*$"))
-            .otherwise(kind.isin("Z", "B", "d"))
-        )
+        value, kind = _parts(x)
         parsed = F.struct(F.substring(x, 1, 2).alias("tag"), kind.alias("type"), value.alias("value"))
         wrong = F.raise_error(F.concat(F.lit("not an auxiliary field: "), x)).cast("struct<tag:string,type:string,value:string>")
-        return F.when(good & fits, parsed).otherwise(wrong)
+        return F.when(aux_fits(x), parsed).otherwise(wrong)
 
     return F.transform(fields, one)
 

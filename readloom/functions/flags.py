@@ -28,6 +28,10 @@ class Flag(IntFlag):
 LETTERS = {"p": 0x001, "P": 0x002, "u": 0x004, "U": 0x008, "r": 0x010, "R": 0x020, "1": 0x040, "2": 0x080, "s": 0x100, "q": 0x200, "x": 0x200, "d": 0x400, "S": 0x800, "f": 0, "F": 0, "_": 0}
 
 
+#: What parse_flags() takes.
+FLAG_FORM = "^(0[xX][0-9A-Fa-f]+|0[0-7]*|[1-9][0-9]*|[" + "".join(k for k in LETTERS if not k.isdigit()) + "][" + "".join(LETTERS) + "]*)?$"
+
+
 class FormatError(ValueError):
     """Text that is not in the format that it should have."""
 

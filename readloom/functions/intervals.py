@@ -63,5 +63,35 @@ def seqinterval_text(name: Column, zstart: Column, zlimit: Column) -> Column:
     return F.concat(name, F.lit(":"), interval_text(zstart, zlimit))
 
 
+def start(i: Column) -> Column:
+    """The first position, from 1; zstart, zend and limit are the same places from 0 and behind the end."""
+    return i["zstart"] + 1
+
+
+def end(i: Column) -> Column:
+    return i["zlimit"]
+
+
+def zend(i: Column) -> Column:
+    return i["zlimit"] - 1
+
+
+def limit(i: Column) -> Column:
+    return i["zlimit"] + 1
+
+
+def length(i: Column) -> Column:
+    return i["zlimit"] - i["zstart"]
+
+
+def set_interval(i: Column, **values: Column) -> Column:
+    """New start, zstart, end, zend, limit, zlimit or length; a length moves the end."""
+    shift = {"start": ("zstart", -1), "zstart": ("zstart", 0), "end": ("zlimit", 0), "zend": ("zlimit", 1), "limit": ("zlimit", -1), "zlimit": ("zlimit", 0)}
+    for name, value in values.items():
+        field, by = shift.get(name, ("zlimit", 0))
+        i = i.withField(field, (i["zstart"] + value if name == "length" else value + by).cast("bigint"))
+    return i
+
+
 def overlaps(a_start: Column, a_limit: Column, b_start: Column, b_limit: Column) -> Column:
     return (a_start < b_limit) & (b_start < a_limit)

@@ -39,6 +39,7 @@ def _position() -> Column:
 
 
 register_order("location", "reference index (none last), position, name, first or second", lambda: [unsigned_index(), _position(), F.col("qname"), order(F.col("flag"))])
+register_order("name", "name alone", lambda: [F.col("qname")])
 register_order("qname", "name, first or second", lambda: [F.col("qname"), order(F.col("flag"))])
 
 

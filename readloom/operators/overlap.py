@@ -17,38 +17,35 @@ def overlap_join(left: DataFrame, right: DataFrame, name: str = "name", bucket:
     that a sequence with most of the rows is spread over many tasks; a pair
     counts in the bucket where the later of the two begins. Intervals over more
     than ``widest`` buckets would be repeated too often: they are dealt by wider
-    buckets, the width of each level being ``widest`` times the one below, so
-    that no interval is repeated more than ``widest`` + 1 times at its own level,
-    and each level meets every other at the wider of the two.
+    buckets, the width of each level being ``widest`` times the one below. Each
+    side is dealt for each level that the other may have, at the wider of the two
+    widths, and both levels are part of the key: so narrow intervals meet only
+    in narrow buckets, and no interval has more than ``widest`` + 1 rows for each
+    level of the other side.
     """
     right = right.select([F.col(c).alias(f"r_{c}") for c in right.columns])
     levels = [bucket]
     while levels[-1] * widest < 1 << 31:
         levels.append(levels[-1] * widest)
 
-    def level(start: str, limit: str):
+    def dealt(df: DataFrame, start: str, limit: str, own: str, other: str) -> DataFrame:
         size = F.col(limit) - F.col(start)
-        out = F.lit(len(levels) - 1)
+        level = F.lit(len(levels) - 1)
         for i in range(len(levels) - 2, -1, -1):
-            out = F.when(size <= levels[i] * widest, i).otherwise(out)
-        return out
+            level = F.when(size <= levels[i] * widest, i).otherwise(level)
+        rows = df.withColumn(f"level_{own}", level).withColumn(f"level_{other}", F.explode(F.array(*map(F.lit, range(len(levels))))))
+        width = F.element_at(F.array(*[F.lit(w).cast("bigint") for w in levels]), F.greatest("level_a", "level_b") + 1)
+        last = F.greatest(F.col(start), F.col(limit) - 1)
+        return rows.withColumn("width", width).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / F.col("width")), F.floor(last / F.col("width")))))
 
-    def dealt(df: DataFrame, start: str, limit: str, side: str, other: str) -> DataFrame:
-        """A row for each bucket, at its own level and at each wider one."""
-        own = df.withColumn(f"{side}_level", level(start, limit))
-        at = F.explode(F.sequence(F.col(f"{side}_level"), F.lit(len(levels) - 1)))
-        own = own.withColumn(f"{side}_at", at)
-        width = F.element_at(F.array(*[F.lit(w).cast("bigint") for w in levels]), F.col(f"{side}_at") + 1)
-        first = F.floor(F.col(start) / width)
-        last = F.floor(F.greatest(F.col(start), F.col(limit) - 1) / width)
-        return own.withColumn(f"{side}_bucket", F.explode(F.sequence(first, last))).withColumn(f"{side}_width", width)
-
-    a = dealt(left, "zstart", "zlimit", "la", "ra")
-    b = dealt(right, "r_zstart", "r_zlimit", "ra", "la")
-    meets = (F.col(name) == F.col(f"r_{name}")) & (F.col("la_at") == F.col("ra_at")) & (F.col("la_bucket") == F.col("ra_bucket"))
-    once = F.col("la_at") == F.greatest("la_level", "ra_level")
-    where = F.col("la_bucket") == F.floor(F.greatest("zstart", "r_zstart") / F.col("la_width"))
-    both = a.join(b, meets & once & where & overlaps(F.col("zstart"), F.col("zlimit"), F.col("r_zstart"), F.col("r_zlimit")))
+    a = dealt(left, "zstart", "zlimit", "a", "b")
+    keys = ["level_a", "level_b", "bucket"]
+    b = dealt(right, "r_zstart", "r_zlimit", "b", "a").drop("width").withColumnsRenamed({k: f"r_{k}" for k in keys})
+    meets = F.col(name) == F.col(f"r_{name}")
+    for k in keys:
+        meets = meets & (F.col(k) == F.col(f"r_{k}"))
+    once = F.col("bucket") == F.floor(F.greatest("zstart", "r_zstart") / F.col("width"))
+    both = a.join(b, meets & once & overlaps(F.col("zstart"), F.col("zlimit"), F.col("r_zstart"), F.col("r_zlimit")))
     return both.select(*left.columns, *right.columns)
 
 

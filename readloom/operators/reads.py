@@ -53,15 +53,41 @@ def lookup_index(df: DataFrame, references: DataFrame, name: str = "rname", inde
     return df.join(own, F.col(name) == F.col("ref_name"), "left").withColumn(index, found).drop("ref_name", "ref_index")
 
 
-def lookup_group(df: DataFrame, groups: DataFrame, read_group: str = "rg") -> DataFrame:
-    """Adds the header columns of each read's group; a read without one raises."""
-    own = groups.dropDuplicates(["id"]).select([F.col(c).alias(f"rg_{c}") for c in groups.columns])
+def one_of_each_id(groups: DataFrame, last: bool = True) -> DataFrame:
+    """One row for each group id: of lines that repeat one, the last or the first by ``line_no``.
+
+    Without that column all rows of an id must be equal; rows that differ raise.
+    """
+    rest = F.struct(*[c for c in groups.columns if c not in ("id", "line_no")])
+    if "line_no" in groups.columns:
+        pick = (F.max_by if last else F.min_by)(rest, "line_no")
+    else:
+        pick = F.when(F.count_distinct(F.to_json(rest)) > 1, F.raise_error(F.concat(F.lit("read group occurs twice: "), F.first("id"))).cast("string")).otherwise(F.lit(None))
+        pick = F.when(pick.isNull(), F.first(rest))
+    return groups.groupBy("id").agg(pick.alias("rest")).select("id", "rest.*") if len(groups.columns) > 1 else groups.distinct()
+
+
+def lookup_group(df: DataFrame, groups: DataFrame, read_group: str = "rg", last: bool = True) -> DataFrame:
+    """Adds the header columns of each read's group; a read without one raises.
+
+    Of header lines that repeat an id the last counts, or the first.
+    """
+    own = one_of_each_id(groups, last)
+    own = own.select([F.col(c).alias(f"rg_{c}") for c in own.columns])
     missing = F.when(F.col(read_group).isNull(), F.raise_error(F.lit("auxiliary field 'RG' not found")).cast("string"))
     unknown = F.raise_error(F.concat(F.lit("no header for read group "), F.col(read_group))).cast("string")
     joined = df.join(own, F.col(read_group) == F.col("rg_id"), "left")
     return joined.withColumn("rg_id", F.coalesce(missing, "rg_id", unknown))
 
 
+def hash_by_qname(name: Column) -> Column:
+    """The names' polynomial hash of base 131 modulo 2^64, as decimal(38,0); ASCII names."""
+    wide = "decimal(38,0)"
+    codes = F.transform(F.split(name, ""), lambda c: F.ascii(c).cast(wide))
+    step = lambda h, c: ((h * F.lit(131).cast("decimal(3,0)") + c) % F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(20,0)")
+    return F.aggregate(codes, F.lit(0).cast("decimal(20,0)"), step).cast(wide)
+
+
 def read_group(df: DataFrame) -> Column:
     """A read's group: the auxiliary field RG, or null."""
     return aux_functions.aux_find(df["aux"], "RG")["value"]
@@ -85,7 +111,7 @@ def count_by_library(df: DataFrame, groups: DataFrame, read_group: str = "rg") -
     zero; reads of groups that the header lacks are left out.
     """
     counts = count_by_group(df.where(F.col(read_group).isNotNull()), read_group)
-    own = groups.select(F.col("id").alias("g_id"), F.coalesce("lb", F.lit("")).alias("library")).dropDuplicates(["g_id"])
+    own = one_of_each_id(groups.select("id", F.coalesce("lb", F.lit("")).alias("library"), *[c for c in groups.columns if c == "line_no"])).withColumnRenamed("id", "g_id")
     joined = own.join(counts, F.col("g_id") == F.col("readgroup"), "left")
     return joined.groupBy("library").agg(F.coalesce(F.sum("mapped"), F.lit(0)).alias("mapped"), F.coalesce(F.sum("unmapped"), F.lit(0)).alias("unmapped"))
 

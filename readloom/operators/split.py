@@ -64,4 +64,4 @@ def split_counts(df: DataFrame, groups: DataFrame, *flags: str, min_quality: int
 
 def route(df: DataFrame, groups: DataFrame, *flags: str, min_quality: int = 0, read_group: str = "rg") -> DataFrame:
     """Selected reads with their group; a read without a known group raises."""
-    return lookup_group(filter_reads(df, *flags, min_quality=min_quality), groups, read_group)
+    return lookup_group(filter_reads(df, *flags, min_quality=min_quality), groups, read_group, last=False)

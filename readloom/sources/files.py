@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import shutil
+import sys
 
 from pyspark.sql import SparkSession
 
+from readloom.session import scratch
+
 
 class UnsupportedFormat(ValueError):
     """A known format that cannot be read."""
@@ -25,6 +29,25 @@ def open_file(path: str, write: bool = False):
     return where.open_input_file(inner)
 
 
+def spooled(spark: SparkSession, path: str) -> str:
+    """The path; for ``-`` that of a copy of standard input in the shared folder."""
+    if path != "-":
+        return path
+    target = scratch(spark, "stdin")
+    target = "file://" + target[len("file:") :] if target.startswith("file:/") and "://" not in target else target
+    with open_file(target, write=True) as f:
+        shutil.copyfileobj(sys.stdin.buffer, f)
+    return target
+
+
+def print_file(path: str) -> None:
+    """Copies a file to standard output."""
+    with open_file(path) as f:
+        while piece := f.read(1 << 20):
+            sys.stdout.buffer.write(piece)
+    sys.stdout.buffer.flush()
+
+
 def file_size(path: str) -> int:
     with open_file(path) as f:
         return f.size()

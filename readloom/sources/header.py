@@ -60,6 +60,18 @@ class Header:
                 return
         self.fields.append((tag, value))
 
+    def push_back(self, tag: str, value: str) -> None:
+        self.fields.append((tag, value))
+
+    def insert(self, at: int, tag: str, value: str) -> None:
+        self.fields.insert(at, (tag, value))
+
+    def replace(self, at: int, tag: str, value: str) -> None:
+        self.fields[at] = (tag, value)
+
+    def clear(self) -> None:
+        self.fields = []
+
     def erase(self, tag: str) -> int:
         kept = [f for f in self.fields if f[0] != tag]
         n, self.fields = len(self.fields) - len(kept), kept
@@ -88,6 +100,39 @@ class HeaderCatalog:
         """Read groups by id; the last of an id counts."""
         return {h.get("ID"): h for h in self.headers if h.type == "RG"}
 
+    @property
+    def first_groups(self) -> dict[str, Header]:
+        """Read groups by id; the first of an id counts, as in splitting."""
+        out: dict[str, Header] = {}
+        for h in self.of_type("RG"):
+            out.setdefault(h.get("ID"), h)
+        return out
+
+    def push_back(self, line: str) -> None:
+        self._replace([*self.headers, Header.parse(line)])
+
+    def insert(self, at: int, line: str) -> None:
+        self._replace([*self.headers[:at], Header.parse(line), *self.headers[at:]])
+
+    def replace(self, at: int, line: str) -> None:
+        self._replace([*self.headers[:at], Header.parse(line), *self.headers[at + 1 :]])
+
+    def clear(self) -> None:
+        self._replace([])
+
+    def _replace(self, headers: list[Header]) -> None:
+        """Other lines; references and groups follow them, or nothing changes."""
+        own = HeaderCatalog([str(h) for h in headers])
+        self.headers, self.references, self.index = headers, own.references, own.index
+
+    def set_reference(self, key: str | int, **fields: str | int) -> None:
+        """New fields of a reference's line, e.g. SN, LN, SP, AS, UR, M5."""
+        name = self.find_reference(key)[0]
+        line = next(h for h in self.of_type("SQ") if h.get("SN") == name)
+        for tag, value in fields.items():
+            line.set(tag, str(value))
+        self._replace(self.headers)
+
     def find_reference(self, key: str | int) -> tuple[str, int]:
         """(name, length) by name or index; ``*`` and -1 are no reference."""
         if key in ("*", -1):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import struct
 from functools import reduce
 
 import numpy as np
@@ -14,7 +15,7 @@ from readloom.functions import aux, cigar, flags, seq
 from readloom.operators.reads import lookup_index
 from readloom.session import ship
 from readloom.sources import bam
-from readloom.sources.files import open_file, sniff, splits_frame
+from readloom.sources.files import open_file, sniff, splits_frame, spooled
 from readloom.sources.header import HeaderCatalog
 
 COLUMNS = [
@@ -47,8 +48,19 @@ def _lines(stream):
         yield held
 
 
-def _records(path: str, start: int, stop: int):
-    """(offsets, bytes) of lines that begin in a byte range; headers are left out."""
+def header_end(path: str) -> int:
+    """Where the header lines that lead a plain text file end."""
+    at = 0
+    with open_file(path) as raw:
+        for line in _lines(raw):
+            if not line.startswith(b"@"):
+                break
+            at += len(line) + 1
+    return at
+
+
+def _records(path: str, start: int, stop: int, head: int):
+    """(offsets, bytes) of lines that begin in a byte range, behind the header lines that lead the file."""
     with open_file(path) as raw:
         zipped = sniff(path) == "gzip"
         stream = gzip.open(raw) if zipped else raw
@@ -57,7 +69,7 @@ def _records(path: str, start: int, stop: int):
         at = max(0, start - 1)
         if not zipped:
             stream.seek(at)
-        held, skipping = b"", start > 0
+        held, skipping, leading = b"", start > 0, zipped
         while True:
             piece = stream.read(_PIECE)
             data = held + piece
@@ -73,10 +85,12 @@ def _records(path: str, start: int, stop: int):
                 breaks = np.flatnonzero(np.frombuffer(block, dtype=np.uint8) == 10)
                 starts = np.concatenate([[0], breaks + 1])
                 ends = np.concatenate([breaks, [len(block)]])
-                inside = (starts < len(block)) & (at + starts < stop)
+                inside = (starts < len(block)) & (at + starts < stop) & (at + starts >= head)
                 for a, b in zip(starts[inside].tolist(), ends[inside].tolist()):
-                    if block[a : a + 1] != b"@":
-                        yield at + a, block[a:b]
+                    if leading and block[a : a + 1] == b"@":
+                        continue
+                    leading = False
+                    yield at + a, block[a:b]
                 if at + len(block) >= stop:
                     return
             at += len(block)
@@ -84,15 +98,29 @@ def _records(path: str, start: int, stop: int):
                 return
 
 
-def read_lines(spark: SparkSession, paths: list[str], split_bytes: int = 128 << 20) -> DataFrame:
-    """(source, source_file, ordinal, value): ordinal is the line's byte offset."""
+def read_lines(spark: SparkSession, paths: list[str], split_bytes: int = 128 << 20, mode: str = "FAILFAST") -> DataFrame:
+    """(source, source_file, ordinal, value): ordinal is the line's byte offset.
+
+    Bytes that are not UTF-8 raise, or under DROPMALFORMED leave their line out.
+    """
     ship(spark)
     schema = pa.schema([("source", pa.int32()), ("source_file", pa.string()), ("ordinal", pa.int64()), ("value", pa.string())])
 
+    heads = {path: header_end(path) if sniff(path) == "sam" else 0 for path in paths}
+
+    def text_of(path, ordinal, line):
+        try:
+            return line.decode()
+        except UnicodeDecodeError as e:
+            if mode == "DROPMALFORMED":
+                return None
+            raise flags.FormatError(f"not text in {path} at {ordinal}") from e
+
     def batch_of(source, path, held):
+        held = [(o, t) for o, t in ((o, text_of(path, o, v)) for o, v in held) if t is not None]
         n = len(held)
         return pa.RecordBatch.from_arrays(
-            [pa.array([source] * n, pa.int32()), pa.array([path] * n), pa.array([o for o, _ in held], pa.int64()), pa.array([v.decode("utf-8", "replace") for _, v in held])],
+            [pa.array([source] * n, pa.int32()), pa.array([path] * n), pa.array([o for o, _ in held], pa.int64()), pa.array([t for _, t in held], pa.string())],
             schema=schema,
         )
 
@@ -100,7 +128,7 @@ def read_lines(spark: SparkSession, paths: list[str], split_bytes: int = 128 <<
         for batch in batches:
             for source, path, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
                 held = []
-                for record in _records(path, start, stop):
+                for record in _records(path, start, stop, heads[path]):
                     held.append(record)
                     if len(held) == 8192:
                         yield batch_of(source, path, held)
@@ -117,18 +145,28 @@ def _integer(text):
     return F.when(text == "", F.lit(0).cast("bigint")).when(text.rlike("^[-+]?[0-9]+$"), text.cast("bigint")).otherwise(wrong)
 
 
+def _well_formed(f):
+    """Whether every field of a record's list can be parsed."""
+    number = lambda i: f[i].rlike("^([-+]?[0-9]+)?$")
+    mapq = F.when(number(4) & (f[4] != ""), f[4].try_cast("bigint")).otherwise(0)
+    return (
+        f[1].rlike(flags.FLAG_FORM) & number(3) & number(4) & number(7) & number(8) & F.coalesce(mapq.between(0, 255), F.lit(False))
+        & (f[5].isin("*", "") | f[5].rlike(f"^([0-9]+[{cigar.OPERATORS}])+$")) & f[10].rlike("^[!-~]*$") & F.forall(F.slice(f, 12, 1 << 20), aux.aux_fits)
+    )
+
+
 def parse_lines(lines: DataFrame, references: DataFrame, mode: str = "FAILFAST", allow_undeclared: bool = False) -> DataFrame:
     """Typed records of SAM lines.
 
-    mode: FAILFAST raises at a malformed record; DROPMALFORMED leaves records
-    out whose fields are too few or whose lengths differ.
+    mode: FAILFAST raises at a malformed record; DROPMALFORMED leaves malformed
+    records out, whatever their fault.
     """
     parts = lines.withColumn("f", F.split(F.regexp_replace("value", "\r$", ""), "\t", -1))
     enough = F.size("f") >= 11
     seq_text, qual_text = F.col("f")[9], F.col("f")[10]
     lengths = (qual_text == "*") | ((seq_text != "*") & (F.length(seq_text) == F.length(qual_text)))
     if mode == "DROPMALFORMED":
-        parts = parts.where(enough).where(lengths)
+        parts = parts.where(enough).where(lengths).where(_well_formed(F.col("f")))
     else:
         where = F.concat(F.lit(" in "), F.col("source_file"), F.lit(" at "), F.col("ordinal").cast("string"))
         bad = F.when(~enough, F.raise_error(F.concat(F.lit("too few fields"), where))).when(~lengths, F.raise_error(F.concat(F.lit("sequence and qualities differ in length"), where)))
@@ -143,19 +181,39 @@ def parse_lines(lines: DataFrame, references: DataFrame, mode: str = "FAILFAST",
         F.when(f(10) == "*", F.lit(None)).otherwise(seq.qual_text(seq.qual_values(f(10)))).alias("qual"), aux.aux_parse(F.slice("f", 12, 1 << 20)).alias("aux"),
     )
     rows = rows.withColumn("zpos", F.col("pos") - 1).withColumn("mate_zpos", F.col("mate_pos") - 1)
-    named = lookup_index(rows, references, "rname", "rindex", allow_undeclared)
-    named = lookup_index(named, references, "mate_rname", "mate_rindex", allow_undeclared)
+    lenient = allow_undeclared or mode == "DROPMALFORMED"
+    named = lookup_index(rows, references, "rname", "rindex", lenient)
+    named = lookup_index(named, references, "mate_rname", "mate_rindex", lenient)
+    if lenient and not allow_undeclared:
+        known = lambda name, index: (F.col(name) == "*") | (F.col(index) >= 0)
+        named = named.where(known("rname", "rindex") & known("mate_rname", "mate_rindex"))
     return named.select(*COLUMNS)
 
 
-def read_alignments(spark: SparkSession, *paths: str, mode: str = "FAILFAST", allow_undeclared: bool = False, split_bytes: int = 128 << 20) -> DataFrame:
-    """Records of SAM and BAM files, in any mixture; formats are told by content."""
+def read_alignments(
+    spark: SparkSession, *paths: str, mode: str = "FAILFAST", allow_undeclared: bool = False, split_bytes: int = 128 << 20, bad_files: list[tuple[str, str]] | None = None
+) -> DataFrame:
+    """Records of SAM and BAM files, in any mixture; formats are told by content.
+
+    ``-`` is standard input. A file that cannot be opened, or whose header is
+    malformed, raises; with a list in ``bad_files`` it is noted there with its
+    fault, and the next file is read.
+    """
     frames = []
     for i, path in enumerate(paths):
-        if sniff(path) == "bam":
+        try:
+            path = spooled(spark, path)
+            kind, catalog = sniff(path), read_header(path)
+        except (OSError, ValueError, struct.error, EOFError) as e:
+            if bad_files is None:
+                raise
+            bad_files.append((path, str(e)))
+            continue
+        if kind == "bam":
             own = bam.read_records(spark, path)
         else:
-            references = read_header(path).references_frame(spark)
-            own = parse_lines(read_lines(spark, [path], split_bytes), references, mode, allow_undeclared)
+            own = parse_lines(read_lines(spark, [path], split_bytes, mode), catalog.references_frame(spark), mode, allow_undeclared)
         frames.append(own.withColumn("source", F.lit(i)))
+    if not frames:
+        return spark.createDataFrame([], bam.DDL)
     return reduce(lambda a, b: a.unionByName(b), frames)

@@ -14,20 +14,32 @@ from pyspark.sql import functions as F
 from readloom.operators.export import sam_line
 from readloom.operators.reads import filter_reads, read_group
 from readloom.operators.split import DEFAULT_TEMPLATE, expand_template
-from readloom.session import ship
+from readloom.session import scratch, ship
 from readloom.sources.bam import BamWriter
-from readloom.sources.files import as_uri, open_file
+from readloom.sources.files import as_uri, open_file, print_file
 from readloom.sources.header import HeaderCatalog
 
 #: Formats by name: (binary, compression level, flag style).
 FORMATS = {"sam": (False, 0, "dec"), "hex": (False, 0, "hex"), "text": (False, 0, "text"), "bam": (True, 6, "dec"), "ubam": (True, 0, "dec"), "sam.gz": (False, 6, "dec")}
 
 
+def format_of(path: str) -> str:
+    """The format that a name's ending stands for, in any case; SAM if none does."""
+    return next((f for f in ("bam", "sam.gz") if path.lower().endswith("." + f)), "sam")
+
+
+def format_column(path: Column) -> Column:
+    """As format_of(), on a column."""
+    low = F.lower(path)
+    return F.when(low.endswith(".bam"), "bam").when(low.endswith(".sam.gz"), "sam.gz").otherwise("sam")
+
+
 class _Sink:
     """One output file: header first, then batches of rows or lines."""
 
-    def __init__(self, name: str, catalog: HeaderCatalog, format: str, header: bool):
-        binary, level, _ = FORMATS[format]
+    def __init__(self, name: str, catalog: HeaderCatalog, format: str, header: bool, level: int | None = None):
+        binary, usual, _ = FORMATS[format]
+        level = usual if level is None else level
         self.name, self.stream = name, open_file(name, write=True)
         self.writer = self.zip = None
         if binary:
@@ -58,21 +70,30 @@ def _columns(df: DataFrame, format: str) -> list[Column]:
     return [df[n] for n in names] if binary else [sam_line(df, style).alias("line")]
 
 
-def write_alignments(df: DataFrame, catalog: HeaderCatalog, path: str, format: str = "sam", header: bool = True, parts: bool = False) -> list[str]:
+def write_alignments(df: DataFrame, catalog: HeaderCatalog, path: str, format: str | None = None, header: bool = True, parts: bool = False, level: int | None = None) -> list[str]:
     """Writes rows in their order and returns the files.
 
+    Without a format the path's ending decides; ``-`` is standard output; a
+    ``level`` of compression takes the place of the format's own.
+
     Without ``parts`` one file is streamed by one task; with it ``path`` is a
     folder and each task writes a complete file with the whole header. Files
     are written under other names and renamed by the driver when all succeeded,
     so a repeated task leaves no double.
     """
+    format = format or format_of(path)
     rows = df.select(_columns(df, format))
     ship(df.sparkSession)
+    if path == "-":
+        target = scratch(df.sparkSession, "stdout")
+        target = "file://" + target[len("file:") :] if target.startswith("file:/") and "://" not in target else target
+        print_file(write_alignments(df, catalog, f"{target}/all", format, header, False, level)[0])
+        return ["-"]
     run_id, folder = uuid.uuid4().hex, as_uri(path if parts else os.path.dirname(path) or ".")
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        sink = _Sink(f"{folder}/.{run_id}-{part:06d}-{uuid.uuid4().hex}", catalog, format, header)
+        sink = _Sink(f"{folder}/.{run_id}-{part:06d}-{uuid.uuid4().hex}", catalog, format, header, level)
         for batch in batches:
             sink.write(batch)
         sink.close()
@@ -81,7 +102,7 @@ def write_alignments(df: DataFrame, catalog: HeaderCatalog, path: str, format: s
     done = (rows if parts else rows.coalesce(1)).mapInArrow(run, "part int, name string").collect()
     if not done:  # no task ran: an output of the header alone
         target = f"{folder}/part-000000.{format}" if parts else as_uri(path)
-        _Sink(target, catalog, format, header).close()
+        _Sink(target, catalog, format, header, level).close()
         return [target]
     targets = [f"{folder}/part-{r['part']:06d}.{format}" if parts else as_uri(path) for r in done]
     for r, target in zip(done, targets):
@@ -107,7 +128,7 @@ def split_by_group(
     with one that the header lacks, raises.
     """
     folder, run_id = as_uri(folder), uuid.uuid4().hex
-    names = {g: f"{folder}/{expand_template(template, dict(reversed(h.fields)), i, source, format)}" for i, (g, h) in enumerate(catalog.groups.items(), 1)}
+    names = {g: f"{folder}/{expand_template(template, dict(reversed(h.fields)), i, source, format)}" for i, (g, h) in enumerate(catalog.first_groups.items(), 1)}
     chosen = filter_reads(df, *flags, min_quality=min_quality)
     group = read_group(chosen)
     missing = F.raise_error(F.when(group.isNull(), "auxiliary field 'RG' not found").otherwise(F.concat(F.lit("no header for read group "), group))).cast("string")

@@ -62,8 +62,8 @@ def stream_pairs(stream: DataFrame) -> DataFrame:
 
 
 def stream_split(stream: DataFrame, folder: str, checkpoint: str, read_group: str = "rg"):
-    """Starts a query that writes each batch to a folder for each read group."""
-    label = F.coalesce(F.col(read_group), F.lit("(ungrouped)"))
+    """Starts a query that writes each batch to a folder for each read group; a read without one raises, as in batch mode."""
+    label = F.coalesce(F.col(read_group), F.raise_error(F.lit("auxiliary field 'RG' not found")).cast("string"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("split_rg", label).write.mode("overwrite").partitionBy("split_rg").parquet(f"{folder}/batch={number}")
