@@ -153,19 +153,24 @@ def _leader_filter(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ``ids``, and maybe of a few others.
+def _maybe_in(docs: DataFrame, ids: DataFrame, id_col, flag: str) -> DataFrame:
+    """The documents with a flag: false only where the id is surely not among ``ids`` (id).
 
-    A bitmap of hashed ids goes ahead of the shuffle, so that few texts are
-    moved. It has 2^25 bits (4 MB) whatever the number of ids, which bounds the
-    broadcast; where it fills up it only lets more rows through.
+    The ids are sent as a bitmap of hashes of 2^25 bits (4 MB) whatever their
+    number, which bounds the broadcast; where it fills up, more flags are true.
     """
-    bit = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 25))
-    maps = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    byte = F.substring("map", (F.bitmap_bit_position("bit") / 8).cast("int") + 1, F.lit(1))
-    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.bitmap_bit_position("bit") % 8).cast("int")) == 1
-    near = docs.withColumn("bit", bit).join(F.broadcast(maps), F.bitmap_bucket_number("bit") == F.col("bucket")).where(is_set)
-    return near.groupBy("id").agg(F.min("text").alias("text"))
+    bit_of = lambda c: F.pmod(F.xxhash64(c, F.lit(5)), F.lit(1 << 25))
+    bit, bucket, bits = (f"{n}_{uuid.uuid4().hex}" for n in ("bit", "bucket", "bits"))
+    maps = ids.select(bit_of(F.col("id")).alias(bit)).groupBy(F.bitmap_bucket_number(bit).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias(bits))
+    byte = F.substring(bits, (F.bitmap_bit_position(bit) / 8).cast("int") + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.bitmap_bit_position(bit) % 8).cast("int")) == 1
+    found = docs.withColumn(bit, bit_of(id_col)).join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col(bucket), "left")
+    return found.withColumn(flag, F.coalesce(is_set, F.lit(False))).drop(bit, bucket, bits)
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``ids``, and maybe of a few others; few texts are moved."""
+    return _maybe_in(docs, ids, F.col("id"), "near").where("near").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -327,8 +332,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows leave by id and text: of rows that share an id, each stays or goes by its own text.
     """
-    found = _grouped(docs, id_col, text_col, size, percent).where("id <> component").select("id", "text_hash").distinct()
+    found = saved(_grouped(docs, id_col, text_col, size, percent).where("id <> component").select("id", "text_hash").distinct(), "neardup")
     tag = uuid.uuid4().hex
-    gone = saved(found, "neardup").toDF(f"gone_id_{tag}", f"gone_hash_{tag}")
-    same = (F.col(id_col).cast("bigint") == F.col(f"gone_id_{tag}")) & (_text_hash(F.col(text_col).cast("string")) == F.col(f"gone_hash_{tag}"))
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    own_id, flag = F.col(id_col).cast("bigint"), f"flag_{tag}"
+    gone = found.toDF(f"gone_id_{tag}", f"gone_hash_{tag}")
+    same = (own_id == F.col(f"gone_id_{tag}")) & (_text_hash(F.col(text_col).cast("string")) == F.col(f"gone_hash_{tag}"))
+    # Only documents that may have to go are joined; the others stay where they are.
+    flagged = _maybe_in(docs, found, own_id, flag)
+    stay, asked = flagged.where(~F.col(flag)), flagged.where(F.col(flag)).join(gone, same, "left_anti")
+    return stay.select(*docs.columns).unionAll(asked.select(*docs.columns))
