@@ -220,11 +220,11 @@ def merge_sorted(spark, sf_dir):
     return ordering.merge_sorted(*parts, by="location", ties=("ord",)).select("ord", "source", "rank")
 
 
-@_query("SELECT ord, qname, 0 AS source FROM aln WHERE mapq >= 30 UNION ALL SELECT event_id AS ord, 'u' || CAST(user_id AS string) AS qname, 1 AS source FROM events")
+@_query("SELECT ord, qname, 0 AS source FROM aln UNION ALL SELECT event_id AS ord, 'u' || CAST(user_id AS string) AS qname, 1 AS source FROM events")
 def concat_sources(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     second = events.select(F.col("event_id").alias("ord"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("qname"))
-    return reads.concat(_aln(spark, sf_dir).where("mapq >= 30").select("ord", "qname"), second)
+    return reads.concat(_aln(spark, sf_dir).select("ord", "qname"), second)
 
 
 @_query("SELECT id, CAST(count(rg) AS bigint) AS n_reads FROM (SELECT DISTINCT id FROM rgh) AS h LEFT JOIN aln ON id = rg AND (flag & 4) = 0 AND mapq >= 10 GROUP BY id")
@@ -232,10 +232,15 @@ def split_counts(spark, sf_dir):
     return split.split_counts(_aln(spark, sf_dir), _rgh(spark, sf_dir), "-u", min_quality=10)
 
 
-@_query("SELECT ord, id AS rg_id, lb AS rg_lb FROM aln JOIN rgh ON rg = id WHERE (flag & 4) = 0")
+@_query(
+    """SELECT ord, coalesce(rg, 'none') AS rg_id, CASE coalesce(rg, 'none') WHEN '5-LOW' THEN 'libD' WHEN 'none' THEN 'first' ELSE lb END AS rg_lb
+ FROM aln LEFT JOIN rgh ON rg = id WHERE (flag & 4) = 0"""
+)
 def split_route(spark, sf_dir):
-    known = _aln(spark, sf_dir).where(F.col("rg").isNotNull() & (F.col("rg") != "5-LOW"))
-    return split.route(known, _rgh(spark, sf_dir), "-u").select("ord", "rg_id", "rg_lb")
+    # A header with every group that occurs; of lines that repeat an id the first counts.
+    more = spark.createDataFrame([("5-LOW", "libD", 5), ("none", "first", 6), ("none", "second", 7)], "id string, lb string, line_no int")
+    groups = _rgh(spark, sf_dir).withColumn("line_no", F.lit(0)).unionByName(more)
+    return split.route(_aln(spark, sf_dir).fillna("none", ["rg"]), groups, "-u").select("ord", "rg_id", "rg_lb")
 
 
 @_query("SELECT id, '100%_run1-' || id || '_' || CAST(row_number() OVER (ORDER BY id) AS string) || '.bam' AS name FROM rgh")
@@ -402,6 +407,239 @@ def record_change(spark, sf_dir):
     return reads.set_fields(rows, pos=F.col("pos") + 100, mapq=F.least(F.col("mapq") * 2, F.lit(255))).select("ord", "pos", "zpos", "mapq")
 
 
+def _catalog(spark, sf_dir):
+    """The header of a file of these reads."""
+    from readloom.sources.header import HeaderCatalog
+
+    names = [r["name"] for r in _references(spark, sf_dir).orderBy("rindex").collect()]
+    groups = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return HeaderCatalog(["@HD\tVN:1.0", *(f"@SQ\tSN:{n}\tLN:{250_000_000 + i}" for i, n in enumerate(names)), *(f"@RG\tID:{g}\tLB:lib{i}" for i, g in enumerate(groups))])
+
+
+def _file(spark, name: str) -> str:
+    from readloom.session import scratch
+
+    path = scratch(spark, name)
+    return path if "://" in path or not path.startswith("file:") else "file://" + path[len("file:") :]
+
+
+def _round_trip(spark, sf_dir, format: str, parts: bool = True) -> DataFrame:
+    """The reads written to files and read back."""
+    from readloom.sources import sam, write
+
+    files = write.write_alignments(_full(spark, sf_dir), _catalog(spark, sf_dir), f"{_file(spark, format)}/{'' if parts else 'x.' + format}".rstrip("/"), format, parts=parts)
+    back = sam.read_alignments(spark, *files) if format != "sam" else sam.read_alignments(spark, *files, split_bytes=1 << 20)
+    return back.select(
+        "qname", "flag", "rindex", "rname", "pos", "zpos", "mapq", "cigar", "mate_rindex", "mate_rname", "mate_pos", "isize", "seq", "qual", F.concat_ws(" ", aux.aux_text(F.col("aux"))).alias("fields")
+    )
+
+
+_FILE_ROWS = f"""SELECT qname, flag, rindex, CASE WHEN rindex < 0 THEN '*' ELSE rname END AS rname, zpos + 1 AS pos, zpos, mapq, cigar, mate_rindex,
+ CASE WHEN mate_rindex < 0 THEN '*' ELSE mate_rname END AS mate_rname, CAST(ord % 1000 AS bigint) AS mate_pos, CAST(ord % 7 - 3 AS bigint) AS isize, seq,
+ CASE WHEN seq = '' OR ord%3=0 THEN NULL ELSE repeat('I', length(seq)) END AS qual, concat_ws(' ', 'NM:i:' || CAST(mapq AS string),
+ CASE WHEN rg IS NOT NULL THEN 'RG:Z:' || rg END, CASE WHEN ord%3=0 THEN 'XA:A:' || CASE WHEN (flag & 16) <> 0 THEN '-' ELSE '+' END END) AS fields FROM {_FULL}"""
+
+
+@_query(_FILE_ROWS)
+def sam_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "sam")
+
+
+@_query(_FILE_ROWS)
+def sam_gzip_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "sam.gz")
+
+
+@_query(_FILE_ROWS)
+def bam_round_trip(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "bam")
+
+
+@_query(_FILE_ROWS)
+def bam_single_file(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "ubam", parts=False)
+
+
+def _bam_header(spark, sf_dir, catalog):
+    """A header written to a BAM file and read back."""
+    from readloom.sources import bam, files, sam
+
+    path = _file(spark, "header")
+    with files.open_file(path, write=True) as f:
+        bam.BamWriter(f, catalog).close()
+    return sam.read_header(path)
+
+
+@_query("SELECT CAST(n_nationkey AS int) AS rindex, n_name AS name, CAST(250000000 + n_nationkey AS bigint) AS length FROM nation")
+def header_references(spark, sf_dir):
+    return _bam_header(spark, sf_dir, _catalog(spark, sf_dir)).references_frame(spark).select("rindex", "name", "length")
+
+
+@_query("SELECT * FROM (VALUES ('1-URGENT', 'lib0'), ('2-HIGH', 'lib1'), ('3-MEDIUM', 'lib2'), ('4-NOT SPECIFIED', 'lib3'), ('5-LOW', 'lib4')) AS t(id, lb)")
+def header_groups(spark, sf_dir):
+    return _bam_header(spark, sf_dir, _catalog(spark, sf_dir)).groups_frame(spark).select("id", "lb")
+
+
+@_query("SELECT CAST(n_nationkey + 1 AS int) AS line_no, 'SQ' AS type, '@SQ\tSN:' || n_name || '\tLN:' || CAST(250000000 + n_nationkey AS string) AS text FROM nation".replace("\t", "' || chr(9) || '"))
+def header_lines(spark, sf_dir):
+    return _catalog(spark, sf_dir).headers_frame(spark).where("type = 'SQ'").select("line_no", "type", "text")
+
+
+@_query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey % 2, n_nationkey) - 1 AS int) AS rindex, n_name AS name, CAST(250000000 + n_nationkey AS bigint) AS length FROM nation")
+def header_merge(spark, sf_dir):
+    from readloom.sources.header import HeaderCatalog, merge_catalogs
+
+    lines = [str(h) for h in _catalog(spark, sf_dir).of_type("SQ")]
+    merged = merge_catalogs(HeaderCatalog(["@HD\tVN:1.0", *lines[::2]]), HeaderCatalog(["@HD\tVN:1.1", lines[0], *lines[1::2]]))
+    return merged.references_frame(spark).select("rindex", "name", "length")
+
+
+@_query("SELECT CAST(n_nationkey AS int) AS rindex, n_name AS name, CAST(CASE WHEN n_nationkey = 3 THEN 7 ELSE 250000000 + n_nationkey END AS bigint) AS length FROM nation UNION ALL SELECT 25, 'extra', 9")
+def header_change(spark, sf_dir):
+    catalog = _catalog(spark, sf_dir)
+    catalog.push_back("@SQ\tSN:extra\tLN:9")
+    catalog.insert(1, "@CO\ttext")
+    catalog.replace(0, "@HD\tVN:1.4")
+    catalog.set_reference(3, LN=7)
+    return catalog.references_frame(spark).select("rindex", "name", "length")
+
+
+@_query("SELECT rg AS readgroup, CAST(count(*) AS bigint) AS n, CAST(count(*) FILTER (WHERE (flag & 16) <> 0) AS bigint) AS n_reverse FROM aln WHERE rg IS NOT NULL AND (flag & 4) = 0 GROUP BY rg")
+def split_files(spark, sf_dir):
+    from functools import reduce
+
+    from readloom.sources import sam, write
+
+    rows = _full(spark, sf_dir).where("rg IS NOT NULL").withColumn("source", F.lit(0)).withColumn("ordinal", F.col("ord"))
+    names = write.split_by_group(rows, _catalog(spark, sf_dir), "run.sam", _file(spark, "split"), "-u", template="%ID.%.", format="bam")
+    back = reduce(lambda a, b: a.unionByName(b), [sam.read_alignments(spark, p).withColumn("readgroup", F.lit(g)) for g, p in names.items()])
+    return back.groupBy("readgroup").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("flag").bitwiseAND(16)) != 0).alias("n_reverse"))
+
+
+@_query("SELECT CAST(ord % 2 AS int) AS source, qname, zpos FROM aln")
+def read_several_files(spark, sf_dir):
+    from readloom.sources import sam, write
+
+    rows, catalog, folder = _full(spark, sf_dir), _catalog(spark, sf_dir), _file(spark, "several")
+    first = write.write_alignments(rows.where("ord % 2 = 0"), catalog, f"{folder}/a.sam", "sam")
+    second = write.write_alignments(rows.where("ord % 2 = 1"), catalog, f"{folder}/b.bam", "bam")
+    bad: list = []  # a file that is not there is noted, and the next is read
+    return sam.read_alignments(spark, *first, *second, f"{folder}/none", bad_files=bad).select("source", "qname", "zpos")
+
+
+def _stream(spark, sf_dir) -> DataFrame:
+    """The reads as a stream of files."""
+    path = _file(spark, "stream-in")
+    rows = _aln(spark, sf_dir).select("ord", "qname", "flag", "mapq", "rg")
+    rows.repartitionByRange(4, "ord").write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _drained(spark, stream: DataFrame) -> DataFrame:
+    """All that a stream appends until its input ends."""
+    path = _file(spark, "stream-out")
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-log").option("path", path).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@_query("SELECT ord, qname FROM aln WHERE (flag & 4) = 0 AND mapq >= 10")
+def stream_filter(spark, sf_dir):
+    from readloom.streaming import flows
+
+    return _drained(spark, flows.stream_filter(_stream(spark, sf_dir), "-u", min_quality=10).select("ord", "qname"))
+
+
+@_query(
+    """SELECT coalesce(rg, '(ungrouped)') AS readgroup, CAST(count(*) FILTER (WHERE (flag & 4) = 0) AS bigint) AS mapped,
+ CAST(count(*) FILTER (WHERE (flag & 4) <> 0) AS bigint) AS unmapped FROM aln GROUP BY 1"""
+)
+def stream_counts(spark, sf_dir):
+    from readloom.streaming import flows
+
+    name = "counts_" + _file(spark, "x")[-32:]
+    log = _file(spark, "stream-log")
+    flows.stream_counts(_stream(spark, sf_dir)).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("readgroup", "mapped", "unmapped")  # a row for each read group
+
+
+@_query("SELECT rg AS split_rg, CAST(count(*) AS bigint) AS n FROM aln WHERE rg IS NOT NULL GROUP BY rg")
+def stream_split(spark, sf_dir):
+    from readloom.streaming import flows
+
+    path = _file(spark, "stream-split")
+    flows.stream_split(_stream(spark, sf_dir).where("rg IS NOT NULL"), path, f"{path}-log").awaitTermination()
+    return spark.read.parquet(path).groupBy("split_rg").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    f"""SELECT qname, min(ord) AS first_ord, max(ord) AS second_ord FROM ({_PAIRS}) AS p WHERE NOT single GROUP BY qname, pair_no"""
+)
+def stream_pairs(spark, sf_dir):
+    from readloom.streaming import flows
+
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)  # keeps state on disk; transformWithState needs it
+    try:
+        return _drained(spark, flows.stream_pairs(_stream(spark, sf_dir))).select("qname", "first_ord", "second_ord")
+    finally:
+        spark.conf.set(name, before)
+
+
+@_query("SELECT ord, row_number() OVER (ORDER BY qname, ord) AS rank FROM aln")
+def sort_name_rank(spark, sf_dir):
+    return ordering.sort_rank(_aln(spark, sf_dir), "name", "ord").select("ord", "rank")
+
+
+@_query(
+    """SELECT ord, CAST(list_reduce(list_prepend(CAST(0 AS hugeint), list_transform(string_split(qname, ''), lambda c: CAST(ascii(c) AS hugeint))),
+ lambda h, c: (h * 131 + c) % CAST('18446744073709551616' AS hugeint)) AS string) AS hash FROM aln"""
+)
+def qname_hash(spark, sf_dir):
+    return _aln(spark, sf_dir).select("ord", reads.hash_by_qname(F.col("qname")).cast("string").alias("hash"))
+
+
+@_query(
+    """SELECT feat_id, zstart + 1 AS s, zlimit AS e, zlimit - 1 AS ze, zlimit + 1 AS l, zlimit - zstart AS n, CAST(4 AS bigint) AS moved_start, zlimit AS moved_limit, zstart + 10 AS cut_limit FROM feat"""
+)
+def interval_parts(spark, sf_dir):
+    i = F.struct("zstart", "zlimit")
+    moved, cut = intervals.set_interval(i, start=F.lit(5)), intervals.set_interval(i, length=F.lit(10))
+    parts = {"s": intervals.start(i), "e": intervals.end(i), "ze": intervals.zend(i), "l": intervals.limit(i), "n": intervals.length(i)}
+    parts |= {"moved_start": moved["zstart"], "moved_limit": moved["zlimit"], "cut_limit": cut["zlimit"]}
+    return _feat(spark, sf_dir).select("feat_id", *[c.alias(k) for k, c in parts.items()])
+
+
+@_query(
+    """SELECT ord, cigar, CAST(len(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')) AS int) AS n_ops, CASE WHEN cigar = '*' THEN '' ELSE regexp_extract(cigar, '^[0-9]+[MIDNSHP=X]') END AS first_op FROM aln"""
+)
+def cigar_parts(spark, sf_dir):
+    ops = cigar.cigar_ops(F.col("cigar"))
+    first = F.try_element_at(ops, F.lit(1))
+    return _aln(spark, sf_dir).select("ord", cigar.cigar_text(ops).alias("cigar"), F.size(ops).alias("n_ops"), F.coalesce(F.concat(first["len"].cast("string"), first["op"]), F.lit("")).alias("first_op"))
+
+
+@_query(
+    """SELECT ord, concat_ws(' ', 'XB:Z:new', 'NM:i:7', CASE WHEN rg IS NOT NULL THEN 'RG:Z:' || rg END, CASE WHEN ord%3=0 THEN 'XA:A:' || CASE WHEN (flag & 16) <> 0 THEN '-' ELSE '+' END END) AS fields,
+ CAST(CASE WHEN rg IS NOT NULL THEN length(rg) + 4 + 4 ELSE 4 END + CASE WHEN ord%3=0 THEN 4 ELSE 0 END AS bigint) AS n_bytes FROM aln"""
+)
+def aux_insert_replace(spark, sf_dir):
+    a = F.col("aux")
+    changed = aux.aux_replace(aux.aux_insert(a, 0, "XB", "Z", F.lit("new")), 1, "i", F.lit(7))
+    total = F.aggregate(aux.aux_size(a), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return _with_aux(spark, sf_dir).select("ord", F.concat_ws(" ", aux.aux_text(changed)).alias("fields"), total.alias("n_bytes"))
+
+
+@_query("SELECT p_partkey, CASE p_partkey%4 WHEN 0 THEN 'bam' WHEN 1 THEN 'sam.gz' ELSE 'sam' END AS format FROM part")
+def name_format(spark, sf_dir):
+    from readloom.sources.write import format_column
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    kind = F.col("p_partkey") % 4
+    ending = F.when(kind == 0, ".BAM").when(kind == 1, ".sam.gz").when(kind == 2, ".Sam").otherwise("")
+    return part.select("p_partkey", format_column(F.concat(F.lit("x"), ending)).alias("format"))
+
+
 @_query(
     f"""SELECT l.library, mapped, unmapped, CAST(coalesce(n, 0) AS bigint) AS feature_hits FROM ({_LIBRARIES}) AS l LEFT JOIN
  (SELECT lb, count(*) AS n FROM sp JOIN feat ON {_OVERLAP} JOIN rgh ON rg = id GROUP BY lb) AS h ON l.library = h.lb"""

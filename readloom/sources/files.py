@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import sys
+from urllib.parse import quote
 
 from pyspark.sql import SparkSession
 
@@ -16,7 +17,10 @@ class UnsupportedFormat(ValueError):
 
 
 def as_uri(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path)
+    """A URI of a path or URI, whose blanks and the like are encoded."""
+    if "://" in path or path.startswith("file:"):
+        return quote(path, safe="%/:@?&=+,;~!$'()*[]#")
+    return "file://" + quote(os.path.abspath(path))
 
 
 def open_file(path: str, write: bool = False):

@@ -145,13 +145,14 @@ def _integer(text):
     return F.when(text == "", F.lit(0).cast("bigint")).when(text.rlike("^[-+]?[0-9]+$"), text.cast("bigint")).otherwise(wrong)
 
 
-def _well_formed(f):
+def _well_formed(fields):
     """Whether every field of a record's list can be parsed."""
+    f = [F.get(fields, F.lit(i)) for i in range(11)]
     number = lambda i: f[i].rlike("^([-+]?[0-9]+)?$")
     mapq = F.when(number(4) & (f[4] != ""), f[4].try_cast("bigint")).otherwise(0)
     return (
         f[1].rlike(flags.FLAG_FORM) & number(3) & number(4) & number(7) & number(8) & F.coalesce(mapq.between(0, 255), F.lit(False))
-        & (f[5].isin("*", "") | f[5].rlike(f"^([0-9]+[{cigar.OPERATORS}])+$")) & f[10].rlike("^[!-~]*$") & F.forall(F.slice(f, 12, 1 << 20), aux.aux_fits)
+        & (f[5].isin("*", "") | f[5].rlike(f"^([0-9]+[{cigar.OPERATORS}])+$")) & f[10].rlike("^[!-~]*$") & F.forall(F.slice(fields, 12, 1 << 20), aux.aux_fits)
     )
 
 
@@ -163,7 +164,8 @@ def parse_lines(lines: DataFrame, references: DataFrame, mode: str = "FAILFAST",
     """
     parts = lines.withColumn("f", F.split(F.regexp_replace("value", "\r$", ""), "\t", -1))
     enough = F.size("f") >= 11
-    seq_text, qual_text = F.col("f")[9], F.col("f")[10]
+    f = lambda i: F.get("f", F.lit(i))
+    seq_text, qual_text = f(9), f(10)
     lengths = (qual_text == "*") | ((seq_text != "*") & (F.length(seq_text) == F.length(qual_text)))
     if mode == "DROPMALFORMED":
         parts = parts.where(enough).where(lengths).where(_well_formed(F.col("f")))
@@ -171,7 +173,6 @@ def parse_lines(lines: DataFrame, references: DataFrame, mode: str = "FAILFAST",
         where = F.concat(F.lit(" in "), F.col("source_file"), F.lit(" at "), F.col("ordinal").cast("string"))
         bad = F.when(~enough, F.raise_error(F.concat(F.lit("too few fields"), where))).when(~lengths, F.raise_error(F.concat(F.lit("sequence and qualities differ in length"), where)))
         parts = parts.withColumn("f", F.coalesce(bad.cast("array<string>"), F.col("f")))
-    f = lambda i: F.col("f")[i]
     mapq = _integer(f(4))
     rows = parts.select(
         "source", "source_file", "ordinal", f(0).alias("qname"), flags.parse_flags_column(f(1)).alias("flag"), f(2).alias("rname"), _integer(f(3)).alias("pos"),

@@ -113,8 +113,8 @@ def write_alignments(df: DataFrame, catalog: HeaderCatalog, path: str, format: s
 def _rename(name: str, target: str) -> None:
     from pyarrow import fs
 
-    where, inner = fs.FileSystem.from_uri(name)
-    where.move(inner, fs.FileSystem.from_uri(target)[1])
+    where, inner = fs.FileSystem.from_uri(as_uri(name))
+    where.move(inner, fs.FileSystem.from_uri(as_uri(target))[1])
 
 
 def split_by_group(

@@ -121,3 +121,17 @@ def test_plans_stay_native(spark, sf):
     assert "Python" not in plan and "Exchange" not in plan
     schema = plan.split("ReadSchema: ")[1].split(">")[0]
     assert "o_totalprice" not in schema and "o_orderdate" not in schema
+
+
+def test_narrow_intervals_meet_only_in_narrow_buckets(spark):
+    """Candidates by key of 2,000 narrow rows a side on one sequence, and the pairs found."""
+    rows = [(i, 1, i * 100_000, i * 100_000 + 50) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, rindex int, zstart bigint, zlimit bigint")
+    joined = overlap.overlap_join(df, df, "rindex")
+    assert joined.count() == 2000
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "level_a" in plan and "r_level_a" in plan
+    wide = spark.createDataFrame([(0, 1, 0, 200_000_000), (1, 1, 5, 5), (2, 1, 100, 300_000_000)], df.schema)
+    want = sorted((a[0], b[0]) for a in rows for b in [(0, 1, 0, 200_000_000), (1, 1, 5, 5), (2, 1, 100, 300_000_000)] if a[2] < b[3] and b[2] < a[3])
+    assert sorted((r.id, r.r_id) for r in overlap.overlap_join(df, wide, "rindex").collect()) == want
+    assert sorted((r.r_id, r.id) for r in overlap.overlap_join(wide, df, "rindex").collect()) == want

@@ -1,5 +1,6 @@
 import gzip
 import struct
+import sys
 
 import pytest
 from pyspark.errors import PySparkException
@@ -84,6 +85,53 @@ def test_line_ends_and_empty_numbers(spark, tmp_path):
     assert sam.read_alignments(spark, str(tmp_path / "e.sam")).count() == 0
 
 
+@pytest.mark.parametrize("split_bytes", [1 << 20, 9])
+def test_records_may_begin_with_the_header_sign(spark, tmp_path, split_bytes):
+    path = tmp_path / "at.sam"
+    rest = "\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\n"
+    path.write_text("@HD\tVN:1.0\n@SQ\tSN:1\tLN:5\nr1" + rest + "@r2" + rest + "r3" + rest)
+    (tmp_path / "at.gz").write_bytes(gzip.compress(path.read_bytes()))
+    for p in (path, tmp_path / "at.gz"):
+        assert [r.qname for r in sam.read_alignments(spark, str(p), split_bytes=split_bytes).orderBy("ordinal").collect()] == ["r1", "@r2", "r3"]
+
+
+def test_malformed_records_are_dropped_on_request(spark, tmp_path):
+    good = ["ok%d\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*" % i for i in range(2)]
+    bad = ["a\tz\t*\t0\t0\t*\t*\t0\t0\t*\t*", "a\t0\tq\t0\t0\t*\t*\t0\t0\t*\t*", "a\t0\t*\t0\t256\t*\t*\t0\t0\t*\t*", "a\t0\t*\t0\t0\tM\t*\t0\t0\t*\t*", "a\t0\t*\tx\t0\t*\t*\t0\t0\t*\t*", "a\t0\t*\t0\t0\t*\t*\t0\t0\t*\t*\tNM:i:x", "short"]
+    path = tmp_path / "d.sam"
+    path.write_bytes("\n".join([good[0], *bad]).encode() + b"\n\xff\xfe" + good[1].encode() + b"\n" + good[1].encode() + b"\n")
+    assert sorted(r.qname for r in sam.read_alignments(spark, str(path), mode="DROPMALFORMED").collect()) == ["ok0", "ok1"]
+    with pytest.raises(PySparkException):
+        sam.read_alignments(spark, str(path)).collect()
+
+
+def test_a_bad_file_is_noted_and_the_next_is_read(spark, sam_file, tmp_path):
+    (tmp_path / "cram").write_bytes(b"CRAM\2" + bytes(20))
+    bad = []
+    rows = sam.read_alignments(spark, str(tmp_path / "none"), str(tmp_path / "cram"), sam_file, bad_files=bad)
+    assert rows.count() == len(LINES) and [p.rsplit("/", 1)[1] for p, _ in bad] == ["none", "cram"]
+    with pytest.raises(OSError):
+        sam.read_alignments(spark, str(tmp_path / "none"))
+
+
+def test_standard_input_and_output(spark, sam_file, monkeypatch, capfdbinary):
+    monkeypatch.setattr(sys, "stdin", open(sam_file))
+    rows = sam.read_alignments(spark, "-")
+    assert rows.count() == len(LINES)
+    assert write.write_alignments(rows.orderBy("ordinal"), sam.read_header(sam_file), "-") == ["-"]
+    assert capfdbinary.readouterr().out.decode().endswith(LINES[-1] + "\n")
+
+
+def test_the_first_or_the_last_line_of_a_group_counts(spark):
+    from readloom.operators import reads, split
+
+    rows = spark.createDataFrame([(1, "a", 0, 60)], "ord bigint, rg string, flag int, mapq int")
+    groups = spark.createDataFrame([("a", "x", 2), ("a", "y", 1), ("a", "z", 3)], "id string, lb string, line_no int")
+    assert reads.lookup_group(rows, groups).first().rg_lb == "z" and split.route(rows, groups).first().rg_lb == "y"
+    with pytest.raises(PySparkException):
+        reads.lookup_group(rows, groups.drop("line_no")).collect()
+
+
 def test_damaged_bam(spark, sam_file, tmp_path):
     catalog = sam.read_header(sam_file)
     whole = open(write.write_alignments(sam.read_alignments(spark, sam_file), catalog, str(tmp_path / "g.bam"), "bam")[0][7:], "rb").read()
