@@ -267,25 +267,26 @@ class Encoder:
         if len(self.known) + len(new) > _CACHE_ENTRIES:
             self.known = {}
         raw = [x.encode("utf-8", "surrogatepass") for x in new]
-        by_width: dict[int, list[int]] = {}
-        for i, x in enumerate(raw):
-            by_width.setdefault(next((w for w in _WIDTHS if len(x) <= w), 0), []).append(i)
-        for width, those in by_width.items():
-            if width and len(those) > 8:
-                ids = merge_many(self.vocabulary, [raw[i] for i in those], width)
+        # Pieces longer than every width come last, and are merged one by one.
+        kinds = np.searchsorted(_WIDTHS, np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+        for kind in range(len(_WIDTHS) + 1):
+            those = np.flatnonzero(kinds == kind).tolist()
+            own = [raw[i] for i in those]
+            if kind < len(_WIDTHS) and len(those) > 8:
+                ids = merge_many(self.vocabulary, own, _WIDTHS[kind])
             else:
-                ids = [merge_one(self.vocabulary, raw[i]) for i in those]
-            for i, x in zip(those, ids):
-                self.known[new[i]] = x
+                ids = [merge_one(self.vocabulary, x) for x in own]
+            self.known.update(zip([new[i] for i in those], ids))
 
     def of_pieces(self, pieces: list[str]) -> list[bytes]:
         """Packed ids of each piece."""
         out = list(map(self.known.get, pieces))
         if None in out:
             missing = [i for i, x in enumerate(out) if x is None]
-            self._learn(list({pieces[i] for i in missing}))
-            for i in missing:
-                out[i] = self.known[pieces[i]]
+            new = [pieces[i] for i in missing]
+            self._learn(list(dict.fromkeys(new)))
+            for i, x in zip(missing, map(self.known.get, new)):
+                out[i] = x
         return out
 
     def encode(self, text: str) -> bytes:
