@@ -186,63 +186,55 @@ class Model:
         """Summed loss over the known places, and gradients of its mean."""
         w, v = self.w, self.v
         found, s, total, query, key, value = self.attend(rows)
-        s /= np.maximum(total, 1e-30)
-        query, key, value = query[..., :HEAD], key[..., :HEAD], value[..., :HEAD]
         here = rows[:, HALF:]
-        known = np.flatnonzero(target.ravel() >= 0)
+        flat = target.ravel()
+        known = np.flatnonzero(flat >= 0)
         n = np.float32(max(1, len(known)))
-        order, runs = self._by_class(target.ravel()[known])
+        order, runs = self._by_class(flat[known])
         known = known[order]
-        t = target.ravel()[known]
-        found_flat = found.reshape(-1, HEADS * HEAD)[known]
-        symbol, before = here.ravel()[known], rows[:, HALF - 1 : -1].ravel()[known]
-        h = _rows_of(w["E"], symbol) + _rows_of(w["P"], before) + found_flat @ w["O"]
-        cls = v.class_of[t]
-        p = h @ w["C"] + w["c"]
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        at = np.arange(len(h))
-        loss = -np.log(np.maximum(p[at, cls], 1e-30)).sum()
-        p[at, cls] -= 1
-        p /= n
-        g = {"C": h.T @ p, "c": p.sum(axis=0), "W": np.zeros_like(w["W"]), "w": np.zeros_like(w["w"])}
+        t = flat[known]
+        found_flat = found.reshape(-1, HEADS * HEAD)
+        h = found_flat @ w["O"]
+        h += _rows_of(w["E"], here.ravel())
+        h += _rows_of(w["P"], rows[:, HALF - 1 : -1].ravel())
+        h = _rows_of(h, known)
+        p, loss = _error_of(h, w["C"], w["c"], v.class_of[t], n)
+        g = {"C": h.T @ p, "c": np.ones(len(p), dtype=p.dtype) @ p, "W": np.zeros_like(w["W"]), "w": np.zeros_like(w["w"])}
         dh = p @ w["C"].T
-        for c, first, last in runs:
+        for c, i, j in runs:
             a, b = v.bounds[c], v.bounds[c + 1]
-            own = h[first:last]
-            x = own @ w["W"][a:b].T + w["w"][a:b]
-            x -= x.max(axis=1, keepdims=True)
-            np.exp(x, out=x)
-            x /= x.sum(axis=1, keepdims=True)
-            i, member = at[: len(own)], t[first:last] - a
-            loss -= np.log(np.maximum(x[i, member], 1e-30)).sum()
-            x[i, member] -= 1
-            x /= n
-            g["W"][a:b], g["w"][a:b] = x.T @ own, x.sum(axis=0)
-            dh[first:last] += x @ w["W"][a:b]
-        g["O"] = found_flat.T @ dh
-        d_found = np.zeros((here.size, HEADS * HEAD), dtype=np.float32)
-        d_found[known] = dh @ w["O"].T
-        d_found = d_found.reshape(*here.shape, HEADS, HEAD).transpose(0, 2, 1, 3)
-        d_s = d_found @ value.transpose(0, 1, 3, 2)
-        d_value = s.transpose(0, 1, 3, 2) @ d_found
-        d_s -= (d_s * s).sum(axis=3, keepdims=True)
+            own = h[i:j]
+            x, more = _error_of(own, w["W"][a:b].T, w["w"][a:b], t[i:j] - a, n)
+            loss += more
+            g["W"][a:b], g["w"][a:b] = x.T @ own, np.ones(len(x), dtype=x.dtype) @ x
+            dh[i:j] += x @ w["W"][a:b]
+        d_h = np.zeros((here.size, WIDTH), dtype=dh.dtype)
+        d_h[known] = dh
+        g["O"] = found_flat.T @ d_h
+        # The sum of weights times their gradients is what was found times its gradient;
+        # the values' cell of ones takes it off in the same product.
+        d_found = (d_h @ w["O"].T).reshape(*here.shape, HEADS, HEAD)
+        off = -(d_found * found.reshape(d_found.shape)) @ np.ones((HEAD, 1), dtype=dh.dtype)
+        d_found = np.concatenate([d_found, off], axis=3).transpose(0, 2, 1, 3) / np.maximum(total, 1e-30)
+        d_s = d_found @ np.ascontiguousarray(value.transpose(0, 1, 3, 2))
         d_s *= s
-        by_gap = d_s.sum(axis=0)
-        g["D"] = np.stack([np.bincount(_GAP.ravel(), weights=x.ravel(), minlength=2 * HALF) for x in by_gap])
-        back = lambda x, r: x.transpose(0, 2, 1, 3).reshape(-1, HEADS * HEAD)
-        d_query, d_key = back(d_s @ key, here) / np.float32(math.sqrt(HEAD)), back(d_s.transpose(0, 1, 3, 2) @ query, rows)
-        d_value = back(d_value, rows)
+        d_value = s.transpose(0, 1, 3, 2) @ d_found[..., :HEAD]
+        by_gap = (np.ones(len(rows), dtype=d_s.dtype) @ d_s.reshape(len(rows), -1)).reshape(HEADS, -1)
+        g["D"] = np.stack([np.bincount(_GAP.ravel(), weights=x, minlength=2 * HALF) for x in by_gap])
+        back = lambda x: x.transpose(0, 2, 1, 3).reshape(-1, HEADS * HEAD)
+        d_query = back(d_s @ key[..., :HEAD])
+        d_query /= np.float32(math.sqrt(HEAD))
+        d_key = d_s.transpose(0, 1, 3, 2) @ query[..., :HEAD]
         # By symbol first: a symbol's rows share their embedding.
         n_symbols = v.symbols + 1
-        sums = _sum_rows(rows.ravel(), np.hstack([d_key, d_value]), n_symbols)
-        d_q = _sum_rows(here.ravel(), d_query, n_symbols)
         inner = HEADS * HEAD
+        sums = _sum_rows(rows.ravel(), [back(d_key), back(d_value)], n_symbols)
+        direct = _sum_rows(here.ravel(), [d_h, d_query], n_symbols)
+        d_q = direct[:, WIDTH:]
         g["K"], g["V"], g["Q"] = w["E"].T @ sums[:, :inner], w["E"].T @ sums[:, inner:], w["E"].T @ d_q
-        g["E"] = sums[:, :inner] @ w["K"].T + sums[:, inner:] @ w["V"].T + d_q @ w["Q"].T + _sum_rows(symbol, dh, n_symbols)
-        g["P"] = _sum_rows(before, dh, n_symbols)
-        return float(loss), g
+        g["E"] = sums[:, :inner] @ w["K"].T + sums[:, inner:] @ w["V"].T + d_q @ w["Q"].T + direct[:, :WIDTH]
+        g["P"] = _sum_rows(rows[:, HALF - 1 : -1].ravel(), [d_h], n_symbols)
+        return loss, g
 
 
 def _rows_of(table: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -264,14 +256,38 @@ def _log_softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: n
     return picked - np.log(total)
 
 
-def _sum_rows(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by index."""
-    order = np.argsort(index, kind="stable")
+def _error_of(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray, n) -> tuple[np.ndarray, float]:
+    """Probabilities of the columns less 1 at the targets, divided by ``n``, and the summed loss."""
+    x = h @ weights
+    x += bias
+    ones = np.ones(x.shape[1], dtype=x.dtype)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+        total = x @ ones
+    if not (np.isfinite(total) & (total > 0)).all():
+        x = h @ weights + bias
+        x -= x.max(axis=1, keepdims=True)
+        np.exp(x, out=x)
+        total = x @ ones
+    at = np.arange(len(x))
+    loss = -np.log(np.maximum(x[at, target] / total, 1e-30)).sum()
+    x *= (1 / (total * n))[:, None]
+    x[at, target] -= 1 / n
+    return x, float(loss)
+
+
+def _sum_rows(index: np.ndarray, values: list[np.ndarray], n: int) -> np.ndarray:
+    """Sums of rows by index, of several tables side by side."""
+    # Keys of 16 bits are sorted by their digits.
+    order = np.argsort(index.astype(np.uint16) if n <= 1 << 16 else index, kind="stable")
     own = index[order]
     cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, dtype=np.int64)
-    out = np.zeros((n, values.shape[1]), dtype=np.float32)
+    out = np.zeros((n, sum(x.shape[1] for x in values)), dtype=values[0].dtype)
     if len(cuts):
-        out[own[cuts]] = np.add.reduceat(values[order], cuts, axis=0)
+        at = 0
+        for x in values:
+            out[own[cuts], at : at + x.shape[1]] = np.add.reduceat(_rows_of(x, order), cuts, axis=0)
+            at += x.shape[1]
     return out
 
 
@@ -295,12 +311,14 @@ class Adam:
             self.w[k][rows] -= (rate * fix) * m / (np.sqrt(v) + 1e-8)
 
 
-def train(model: Model, rows: np.ndarray, target: np.ndarray, rate: float, seed: int, batch: int = 64) -> int:
+def train(model: Model, rows: np.ndarray, target: np.ndarray, rate: float, seed: int) -> int:
     """Adam over the windows in an order drawn from the seed, with a falling rate; gives the ids seen."""
     order = np.random.default_rng(seed).permutation(len(rows))
+    # About 500 steps or more, as far as steps of 64 windows make so many.
+    batch = min(512, max(64, len(rows) // 500))
     best, steps = Adam(model.w), -(-len(rows) // batch)
     for i in range(steps):
         own = order[i * batch : (i + 1) * batch]
         model.project()
-        best.step(model.gradients(rows[own], target[own])[1], rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps))
+        best.step(model.gradients(rows[own].astype(np.intp), target[own])[1], rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps))
     return int((target >= 0).sum())

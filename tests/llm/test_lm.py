@@ -200,3 +200,43 @@ def test_words_and_ids_of_texts(vocabulary):
     ids, text_ids = speller.sequences((distinct, at, n), speller.own.vocabulary.size)
     assert text_ids.sum() == len(ids) and text_ids[1:3].tolist() == [1, 1]
     assert (ids == speller.own.vocabulary.size).sum() == 4
+
+
+def test_every_training_document_trains_the_weights(spark, vocabulary):
+    """The order of one document's words alone is in no count; it moves the scores through the weights only."""
+    rows = {i: " ".join(f"word{(7 * i + k**3) % 23}" for k in range(1, 30)) for i in range(60)}
+    train = [i for i in rows if zlib.crc32(str(i).encode()) % 10 != 0]
+
+    def scores(texts):
+        got = lm.score(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1), *vocabulary).collect()
+        return {r.doc_id: r.score for r in got}, {r.doc_id: r.base_score for r in got}
+
+    whole, base_ = scores(rows)
+    for i in (train[0], train[len(train) // 2], train[-1]):
+        model, same = scores(rows | {i: " ".join(reversed(rows[i].split()))})
+        assert all(abs(base_[k] - same[k]) < 1e-9 for k in rows)
+        assert max(abs(whole[k] - model[k]) for k in rows if k != i) > 1e-5, i
+
+
+def test_fewer_rounds_than_parts_raise(spark, vocabulary):
+    with pytest.raises(ValueError, match="left out"):
+        lm.score(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), *vocabulary, part=3, rounds=2)
+
+
+@pytest.mark.parametrize("n", [300, 70_000])
+def test_packed_symbols(n):
+    v = attention.Vocabulary({i: n - i for i in range(n)}, 1, n)
+    symbols, sizes = np.random.default_rng(0).integers(0, v.symbols, 50).astype(np.int32), np.array([20, 0, 1, 29])
+    low, high = lm.pack_symbols(symbols, sizes, v)
+    got = lm.unpack_symbols(low.slice(1), high.slice(1), v)
+    assert got[0].tolist() == symbols[20:].tolist() and got[1].tolist() == [0, 1, 29]
+
+
+def test_spelt_words_give_the_same_ids(vocabulary):
+    split = lm.split_words(pa.array(["the cat, sat", None, "zzyzx the the"]))
+    plain = lm.Speller(*vocabulary)
+    ids, sizes = lm.packed_ids(pa.array(plain.ids(["the", "cat,"]), pa.binary()))
+    place = np.array([{"the": 0, "cat,": 1}.get(w, -1) for w in split[0].to_pylist()])
+    end = plain.own.vocabulary.size
+    got, want = lm.Speller(*vocabulary, (ids, np.concatenate([[0], np.cumsum(sizes)]))).sequences(split, end, place), plain.sequences(split, end)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
