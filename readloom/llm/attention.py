@@ -182,8 +182,8 @@ class Model:
         ends = np.cumsum(np.bincount(cls, minlength=self.v.classes)).tolist()
         return order, [(c, i, j) for c, (i, j) in enumerate(zip([0] + ends, ends)) if j > i]
 
-    def gradients(self, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
-        """Summed loss over the known places, and gradients of its mean."""
+    def gradients(self, rows: np.ndarray, target: np.ndarray, with_loss: bool = True) -> tuple[float, dict]:
+        """Summed loss over the known places (0 if not asked for), and gradients of its mean."""
         w, v = self.w, self.v
         found, s, total, query, key, value = self.attend(rows)
         here = rows[:, HALF:]
@@ -198,13 +198,13 @@ class Model:
         h += _rows_of(w["E"], here.ravel())
         h += _rows_of(w["P"], rows[:, HALF - 1 : -1].ravel())
         h = _rows_of(h, known)
-        p, loss = _error_of(h, w["C"], w["c"], v.class_of[t], n)
+        p, loss = _error_of(h, w["C"], w["c"], v.class_of[t], n, with_loss)
         g = {"C": h.T @ p, "c": np.ones(len(p), dtype=p.dtype) @ p, "W": np.zeros_like(w["W"]), "w": np.zeros_like(w["w"])}
         dh = p @ w["C"].T
         for c, i, j in runs:
             a, b = v.bounds[c], v.bounds[c + 1]
             own = h[i:j]
-            x, more = _error_of(own, w["W"][a:b].T, w["w"][a:b], t[i:j] - a, n)
+            x, more = _error_of(own, w["W"][a:b].T, w["w"][a:b], t[i:j] - a, n, with_loss)
             loss += more
             g["W"][a:b], g["w"][a:b] = x.T @ own, np.ones(len(x), dtype=x.dtype) @ x
             dh[i:j] += x @ w["W"][a:b]
@@ -256,7 +256,7 @@ def _log_softmax(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: n
     return picked - np.log(total)
 
 
-def _error_of(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray, n) -> tuple[np.ndarray, float]:
+def _error_of(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray, n, with_loss: bool) -> tuple[np.ndarray, float]:
     """Probabilities of the columns less 1 at the targets, divided by ``n``, and the summed loss."""
     x = h @ weights
     x += bias
@@ -270,7 +270,7 @@ def _error_of(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.n
         np.exp(x, out=x)
         total = x @ ones
     at = np.arange(len(x))
-    loss = -np.log(np.maximum(x[at, target] / total, 1e-30)).sum()
+    loss = -np.log(np.maximum(x[at, target] / total, 1e-30)).sum() if with_loss else 0
     x *= (1 / (total * n))[:, None]
     x[at, target] -= 1 / n
     return x, float(loss)
@@ -303,12 +303,27 @@ class Adam:
         self.t += 1
         fix = math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
-            rows = np.flatnonzero(x.any(axis=1)) if k in ("E", "P", "W") else slice(None)
-            x = x[rows]
-            m = 0.9 * self.m[k][rows] + 0.1 * x
-            v = 0.99 * self.v[k][rows] + 0.01 * x * x
-            self.m[k][rows], self.v[k][rows] = m, v
-            self.w[k][rows] -= (rate * fix) * m / (np.sqrt(v) + 1e-8)
+            m, v, rows = self.m[k], self.v[k], None
+            if k in ("E", "P", "W"):
+                touched = np.abs(x) @ np.ones(x.shape[1], dtype=x.dtype) > 0
+                if not touched.all():
+                    rows = np.flatnonzero(touched)
+                    x, m, v = _rows_of(x, rows), _rows_of(m, rows), _rows_of(v, rows)
+            m *= 0.9
+            m += 0.1 * x
+            v *= 0.99
+            x = x * x
+            x *= 0.01
+            v += x
+            step = np.sqrt(v)
+            step += 1e-8
+            np.divide(m, step, out=step)
+            step *= rate * fix
+            if rows is None:
+                self.w[k] -= step
+            else:
+                self.m[k][rows], self.v[k][rows] = m, v
+                self.w[k][rows] -= step
 
 
 def train(model: Model, rows: np.ndarray, target: np.ndarray, rate: float, seed: int) -> int:
@@ -320,5 +335,5 @@ def train(model: Model, rows: np.ndarray, target: np.ndarray, rate: float, seed:
     for i in range(steps):
         own = order[i * batch : (i + 1) * batch]
         model.project()
-        best.step(model.gradients(rows[own].astype(np.intp), target[own])[1], rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps))
+        best.step(model.gradients(rows[own].astype(np.intp), target[own], with_loss=False)[1], rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps))
     return int((target >= 0).sum())

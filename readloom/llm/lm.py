@@ -9,11 +9,11 @@ sum of the words' smoothed shares of the training words.
 Everything is learnt from every training document: the counts of words, through
 them the counts of ids, their order, classes and first shares, and the weights.
 These are learnt by Adam in ``rounds`` rounds. Each takes one of ``part`` parts
-of the training documents, dealt by a hash; ``rounds`` may not be fewer, so no
-document is left out. In a round the part's documents are dealt by another hash
-of their ids into groups of about ``group_tokens`` tokens; a group trains from
-the round's first weights, in an order that its rows alone decide, and the
-weights are averaged. So scores do not depend on how rows lie in files,
+of the training documents, dealt by a hash of id and text, so that rows without
+an id spread too; ``rounds`` may not be fewer, so no document is left out. In a
+round the part's documents are dealt by another such hash into groups of about
+``group_tokens`` tokens; a group trains from the round's first weights, in an
+order that its rows alone decide, and the weights are averaged. So scores do not depend on how rows lie in files,
 partitions or tasks.
 
 Words are counted and looked up by 64-bit hashes. Words of at least one part in
@@ -81,22 +81,25 @@ def count_words(docs: DataFrame) -> DataFrame:
 
     @tidy
     def run(batches):
-        held: dict[str, int] = {}
+        held: list[tuple[pa.Array, np.ndarray]] = []
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=schema)
+        def summed():
+            coded = pa.chunked_array([w for w, _ in held], pa.string()).combine_chunks().dictionary_encode()
+            n = np.bincount(np.asarray(coded.indices), weights=np.concatenate([c for _, c in held]), minlength=len(coded.dictionary))
+            return coded.dictionary, n.astype(np.int64)
 
         for batch in batches:
-            for a, b in by_bytes(sizes_of(batch.column("text"))):
+            for a, b in by_bytes(sizes_of(batch.column("text")), 2 * SMALL):
                 distinct, at, _ = split_words(batch.column("text").slice(a, b - a))
-                counts = np.bincount(at, minlength=len(distinct)).tolist()
-                for w, c in zip(distinct.to_pylist(), counts):
-                    held[w] = held.get(w, 0) + c
-                if len(held) > 300_000:
-                    yield out()
-                    held = {}
+                held.append((distinct, np.bincount(at, minlength=len(distinct))))
+                if sum(len(w) for w, _ in held) > 600_000:
+                    held = [summed()]
+                    if len(held[0][0]) > 300_000:
+                        yield pa.RecordBatch.from_arrays([held[0][0], pa.array(held[0][1])], schema=schema)
+                        held = []
         if held:
-            yield out()
+            words_, n = summed()
+            yield pa.RecordBatch.from_arrays([words_, pa.array(n)], schema=schema)
 
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -264,7 +267,7 @@ def _train_round(read: DataFrame, n_groups: int, sent, number: int, rate: float)
         release()
         return pa.table({"g": pa.array([g] * len(cuts), pa.int64()), "chunk": pa.array(range(len(cuts)), pa.int32()), "n": [float(seen)] * len(cuts), "x": [flat[a : a + _CHUNK].tobytes() for a in cuts]})
 
-    dealt = read.select("low", "high", F.xxhash64("doc_id", F.lit(17)).alias("place")).withColumn("g", F.pmod("place", F.lit(n_groups)))
+    dealt = read.select("low", "high", F.xxhash64("doc_id", "low", "high", F.lit(17)).alias("place")).withColumn("g", F.pmod("place", F.lit(n_groups)))
     trained = dealt.repartition(n_groups, "g").groupBy("g").applyInArrow(run, "g bigint, chunk int, n double, x binary")
     means = _mean_of(saved(trained, "lm-weights"), n_groups)
     v, first = sent.value
@@ -285,7 +288,7 @@ def train_model(read: DataFrame, v: attention.Vocabulary, tokens: int, part: int
     weights = attention.start(v)
     n_groups = max(1, round(tokens / part / group_tokens))
     for k in range(rounds):
-        chosen = read.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(part)) == k % part)
+        chosen = read.where(F.pmod(F.xxhash64("doc_id", "low", "high", F.lit(11)), F.lit(part)) == k % part)
         sent = read.sparkSession.sparkContext.broadcast((v, weights))
         weights = _train_round(chosen, n_groups, sent, k, 0.02 / (1 + k))
     return weights
