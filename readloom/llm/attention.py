@@ -98,8 +98,10 @@ def windows(symbols: np.ndarray, text_ids: np.ndarray, v: Vocabulary) -> tuple[n
 
 
 class Model:
-    def __init__(self, v: Vocabulary, weights: dict[str, np.ndarray]):
-        self.v, self.w = v, weights
+    """``pad`` is the filling symbol's row in E and P, which may hold a batch's symbols only."""
+
+    def __init__(self, v: Vocabulary, weights: dict[str, np.ndarray], pad: int | None = None):
+        self.v, self.w, self.pad = v, weights, v.pad if pad is None else pad
         self.careful = False  # set once scores have overflowed exp()
 
     def project(self) -> None:
@@ -108,13 +110,15 @@ class Model:
         One more cell in each head spares passes over the scores: it shuts out
         the filling symbol by its key, and sums the weights by the values.
         """
-        e, n = self.w["E"], self.v.symbols + 1
+        e, n = self.w["E"], len(self.w["E"])
 
-        def table(x: np.ndarray, last: np.ndarray) -> np.ndarray:
-            return np.concatenate([x.reshape(n, HEADS, HEAD), np.broadcast_to(last[:, None, None], (n, HEADS, 1))], axis=2).astype(np.float32)
+        def table(x: np.ndarray, last: float) -> np.ndarray:
+            out = np.full((n, HEADS, HEAD + 1), last, dtype=np.float32)
+            out[..., :HEAD] = x.reshape(n, HEADS, HEAD)
+            return out
 
-        one, shut = np.ones(n, dtype=np.float32), np.where(np.arange(n) == self.v.pad, np.float32(_NEVER), np.float32(0))
-        self.q, self.k, self.val = table(e @ self.w["Q"] / math.sqrt(HEAD), one), table(e @ self.w["K"], shut), table(e @ self.w["V"], one)
+        self.q, self.k, self.val = table(e @ (self.w["Q"] / np.float32(math.sqrt(HEAD))), 1), table(e @ self.w["K"], 0), table(e @ self.w["V"], 1)
+        self.k[self.pad, :, HEAD] = _NEVER
         self.bias = np.where(_CAUSAL, self.w["D"][:, _GAP], np.float32(_NEVER))
 
     def attend(self, rows: np.ndarray):
@@ -214,8 +218,8 @@ class Model:
         # The sum of weights times their gradients is what was found times its gradient;
         # the values' cell of ones takes it off in the same product.
         d_found = (d_h @ w["O"].T).reshape(*here.shape, HEADS, HEAD)
-        off = -(d_found * found.reshape(d_found.shape)) @ np.ones((HEAD, 1), dtype=dh.dtype)
-        d_found = np.concatenate([d_found, off], axis=3).transpose(0, 2, 1, 3) / np.maximum(total, 1e-30)
+        off = -((d_found * found.reshape(d_found.shape)).reshape(-1, HEAD) @ np.ones(HEAD, dtype=dh.dtype))
+        d_found = np.concatenate([d_found, off.reshape(*here.shape, HEADS, 1)], axis=3).transpose(0, 2, 1, 3) / np.maximum(total, 1e-30)
         d_s = d_found @ np.ascontiguousarray(value.transpose(0, 1, 3, 2))
         d_s *= s
         d_value = s.transpose(0, 1, 3, 2) @ d_found[..., :HEAD]
@@ -226,14 +230,17 @@ class Model:
         d_query /= np.float32(math.sqrt(HEAD))
         d_key = d_s.transpose(0, 1, 3, 2) @ query[..., :HEAD]
         # By symbol first: a symbol's rows share their embedding.
-        n_symbols = v.symbols + 1
+        n_symbols = len(w["E"])
         inner = HEADS * HEAD
         sums = _sum_rows(rows.ravel(), [back(d_key), back(d_value)], n_symbols)
-        direct = _sum_rows(here.ravel(), [d_h, d_query], n_symbols)
-        d_q = direct[:, WIDTH:]
+        # The id before a place stands at the place before, but for a window's first.
+        later = np.zeros_like(d_h).reshape(*here.shape, WIDTH)
+        later[:, :-1] = d_h.reshape(later.shape)[:, 1:]
+        direct = _sum_rows(here.ravel(), [d_h, d_query, later.reshape(d_h.shape)], n_symbols)
+        d_q = direct[:, WIDTH : WIDTH + inner]
         g["K"], g["V"], g["Q"] = w["E"].T @ sums[:, :inner], w["E"].T @ sums[:, inner:], w["E"].T @ d_q
-        g["E"] = sums[:, :inner] @ w["K"].T + sums[:, inner:] @ w["V"].T + d_q @ w["Q"].T + direct[:, :WIDTH]
-        g["P"] = _sum_rows(rows[:, HALF - 1 : -1].ravel(), [d_h], n_symbols)
+        g["E"] = sums @ np.concatenate([w["K"], w["V"]], axis=1).T + d_q @ w["Q"].T + direct[:, :WIDTH]
+        g["P"] = direct[:, WIDTH + inner :] + _sum_rows(rows[:, HALF - 1], [d_h.reshape(later.shape)[:, 0]], n_symbols)
         return loss, g
 
 
@@ -286,7 +293,11 @@ def _sum_rows(index: np.ndarray, values: list[np.ndarray], n: int) -> np.ndarray
     if len(cuts):
         at = 0
         for x in values:
-            out[own[cuts], at : at + x.shape[1]] = np.add.reduceat(_rows_of(x, order), cuts, axis=0)
+            x = _rows_of(x, order)
+            # Two numbers are added at a time where they make up a complex one.
+            pairs = x.dtype == np.float32 and x.shape[1] % 2 == 0
+            total = np.add.reduceat(x.view(np.complex64) if pairs else x, cuts, axis=0)
+            out[own[cuts], at : at + x.shape[1]] = total.view(x.dtype) if pairs else total
             at += x.shape[1]
     return out
 
@@ -299,31 +310,38 @@ class Adam:
         self.m = {k: np.zeros_like(x) for k, x in w.items()}
         self.v = {k: np.zeros_like(x) for k, x in w.items()}
 
-    def step(self, g: dict, rate: float) -> None:
+    def step(self, g: dict, rate: float, used: np.ndarray) -> None:
+        """``used`` are the symbols that the rows of E's and P's gradients stand for."""
         self.t += 1
-        fix = math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        rate *= math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, x in g.items():
-            m, v, rows = self.m[k], self.v[k], None
+            w, m, v, rows = self.w[k], self.m[k], self.v[k], None
             if k in ("E", "P", "W"):
                 touched = np.abs(x) @ np.ones(x.shape[1], dtype=x.dtype) > 0
-                if not touched.all():
+                if k != "W":
+                    rows = used if touched.all() else used[touched]
+                elif not touched.all():
                     rows = np.flatnonzero(touched)
-                    x, m, v = _rows_of(x, rows), _rows_of(m, rows), _rows_of(v, rows)
+                if not touched.all():
+                    x = x[touched]
+                if rows is not None:
+                    m, v = _rows_of(m, rows), _rows_of(v, rows)
             m *= 0.9
-            m += 0.1 * x
+            step = x * 0.1
+            m += step
             v *= 0.99
-            x = x * x
-            x *= 0.01
-            v += x
-            step = np.sqrt(v)
+            np.multiply(x, x, out=step)
+            step *= 0.01
+            v += step
+            np.sqrt(v, out=step)
             step += 1e-8
             np.divide(m, step, out=step)
-            step *= rate * fix
+            step *= rate
             if rows is None:
-                self.w[k] -= step
+                w -= step
             else:
                 self.m[k][rows], self.v[k][rows] = m, v
-                self.w[k][rows] -= step
+                w[rows] -= step
 
 
 def train(model: Model, rows: np.ndarray, target: np.ndarray, rate: float, seed: int) -> int:
@@ -332,8 +350,14 @@ def train(model: Model, rows: np.ndarray, target: np.ndarray, rate: float, seed:
     # About 500 steps or more, as far as steps of 64 windows make so many.
     batch = min(512, max(64, len(rows) // 500))
     best, steps = Adam(model.w), -(-len(rows) // batch)
+    place = np.zeros(model.v.symbols + 1, dtype=np.intp)
     for i in range(steps):
         own = order[i * batch : (i + 1) * batch]
-        model.project()
-        best.step(model.gradients(rows[own].astype(np.intp), target[own], with_loss=False)[1], rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps))
+        # The other symbols have no gradient in E and P, and nothing reads their projections.
+        batch_rows = rows[own]
+        used = np.flatnonzero(np.bincount(np.append(batch_rows.ravel(), model.v.pad), minlength=model.v.symbols + 1))
+        place[used] = np.arange(len(used))
+        part = Model(model.v, model.w | {k: _rows_of(model.w[k], used) for k in ("E", "P")}, int(place[model.v.pad]))
+        part.project()
+        best.step(part.gradients(_rows_of(place, batch_rows), target[own], with_loss=False)[1], rate * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps), used)
     return int((target >= 0).sum())

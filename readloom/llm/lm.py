@@ -16,9 +16,9 @@ round the part's documents are dealt by another such hash into groups of about
 order that its rows alone decide, and the weights are averaged. So scores do not depend on how rows lie in files,
 partitions or tasks.
 
-Words are counted and looked up by 64-bit hashes. Words of at least one part in
-``bound`` of all tokens go to the executors by broadcast, with their ids; there
-are ``bound`` such words at most, by arithmetic. All others are spelt where they
+Words are counted and looked up by 64-bit hashes. The most frequent words, at
+most ``bound`` of them, go to the executors by broadcast, with their ids: those
+of a least count that few enough words reach. All others are spelt where they
 stand, and joined, distributed, for the base. Texts are spelt once: training and
 scoring read the model's symbols from a saved table.
 
@@ -104,6 +104,19 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def hot_floor(counts: DataFrame, bound: int, n: int) -> int:
+    """The least count for which at most ``bound`` words, of ``n`` tokens in all, have it or more."""
+    # A count for which that holds by arithmetic; only lower ones, which are few, need to be told apart.
+    least, total = max(1, math.ceil(n / bound)), 0
+    rows = counts.groupBy(F.least("c", F.lit(least)).alias("c")).agg(F.count(F.lit(1)).alias("words")).collect()
+    for c, words_ in sorted(((r["c"], r["words"]) for r in rows), reverse=True):
+        total += words_
+        if total > bound:
+            break
+        least = c
+    return least
+
+
 def spell_counts(counts: DataFrame, path: str, pattern: str) -> DataFrame:
     """(c, h, ids) of each (word, c): the word's hash and its packed ids."""
 
@@ -305,7 +318,7 @@ _SCORED = "row bigint, doc_id bigint, n_tokens bigint, hot_log double, hot_known
 
 
 def score(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", bound: int = 2_000_000, part: int = 2, rounds: int = 2, group_tokens: int = 4_000_000
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", bound: int = 500_000, part: int = 2, rounds: int = 2, group_tokens: int = 4_000_000
 ) -> DataFrame:
     """One row per document with its base and model scores."""
     spark = docs.sparkSession
@@ -317,13 +330,12 @@ def score(
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = int(total) + n_train, int(distinct) + (n_train > 0)
     scale = n + 0.1 * (v + 1)
-    floor = max(1.0, n / bound)
-    # At most ``bound`` rows, as their counts sum to no more than n.
+    floor = hot_floor(counts, bound, n)
     hot = counts.where(F.col("c") >= floor).select("h", "c", "ids").toArrow()
     h = hot.column("h").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(h)
     spelt, lengths = packed_ids(hot.column("ids").take(pa.array(order)).combine_chunks())
-    table = h[order], np.log10(hot.column("c").to_numpy().astype(np.float64)[order] + 0.1).astype(np.float64), (spelt, np.concatenate([[0], np.cumsum(lengths)]))
+    table = h[order], hot.column("c").to_numpy().astype(np.int64)[order], (spelt, np.concatenate([[0], np.cumsum(lengths)]))
 
     size = encoder(path, pattern).vocabulary.size
     symbols = attention.Vocabulary(count_ids(counts, size), n_train, size)
@@ -332,7 +344,7 @@ def score(
     @tidy
     def run(batches):
         """For each document its symbols, what is known of its base, and its words that are to be joined."""
-        known, log_c, spelt = hot_sent.value
+        known, known_c, spelt = hot_sent.value
         speller, v = Speller(path, pattern, spelt), symbols_sent.value
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -343,7 +355,7 @@ def score(
                 hashes = word_hashes(own)
                 place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
                 is_hot = known[place] == hashes if len(known) else np.zeros(len(hashes), dtype=bool)
-                gain = np.where(is_hot, log_c[place], 0.0) if len(known) else np.zeros(len(hashes))
+                gain = np.where(is_hot, np.log10(known_c[place] + 0.1), 0.0) if len(known) else np.zeros(len(hashes))
                 doc = np.repeat(np.arange(docs_), n_words)
                 hot_known = np.bincount(doc, weights=is_hot[at], minlength=docs_).astype(np.int64)
                 cold = ~is_hot[at]

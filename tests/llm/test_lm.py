@@ -240,3 +240,47 @@ def test_spelt_words_give_the_same_ids(vocabulary):
     end = plain.own.vocabulary.size
     got, want = lm.Speller(*vocabulary, (ids, np.concatenate([[0], np.cumsum(sizes)]))).sequences(split, end, place), plain.sequences(split, end)
     assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_the_word_table_holds_as_many_frequent_words_as_it_may(spark):
+    counts = spark.createDataFrame([(c,) for c in [500, 40, 40, 9, 9, 9, 2, 1, 1, 1, 1]], "c bigint")
+    n = 614
+    # By arithmetic alone a table of 7 words would take those of 614 / 7 tokens or more, one word.
+    assert [lm.hot_floor(counts, bound, n) for bound in (1, 2, 3, 5, 6, 7, 10, 11, 614)] == [500, 307, 40, 40, 9, 2, 2, 1, 1]
+    for bound in (1, 3, 7, 11):
+        assert counts.where(f"c >= {lm.hot_floor(counts, bound, n)}").count() <= bound
+    assert lm.hot_floor(counts.where("false"), 5, 0) == 1
+
+
+def test_a_training_step_projects_its_own_symbols_only(monkeypatch):
+    v, model = small_model(symbols=70)
+    symbols = np.random.default_rng(3).integers(0, 40, 2000).astype(np.int32)
+    rows, target = attention.windows(symbols, np.array([1200, 800]), v)
+    other = attention.Model(v, {k: x.copy() for k, x in model.w.items()})
+    # The same steps with all symbols at hand.
+    best, every = attention.Adam(other.w), np.arange(v.symbols + 1)
+    order = np.random.default_rng(5).permutation(len(rows))
+    steps = -(-len(rows) // 64)
+    for i in range(steps):
+        own = order[i * 64 : (i + 1) * 64]
+        other.project()
+        best.step(other.gradients(rows[own].astype(np.intp), target[own], with_loss=False)[1], 0.02 * min(1.0, (i + 1) / 20) * (1 - 0.9 * i / steps), every)
+    seen, project = [], attention.Model.project
+    monkeypatch.setattr(attention.Model, "project", lambda self: (seen.append(len(self.w["E"])), project(self))[1])
+    before = {k: x.copy() for k, x in model.w.items()}
+    assert attention.train(model, rows, target, 0.02, 5) == 2000
+    assert len(seen) == steps and max(seen) <= 42
+    assert all(np.allclose(model.w[k], x, atol=1e-4) for k, x in other.w.items())
+    assert any(np.abs(model.w[k] - before[k]).max() > 1e-3 for k in ("E", "P", "W"))
+    # Symbols that no window holds stay as they are.
+    assert np.array_equal(model.w["E"][40:70], before["E"][40:70])
+
+
+def test_sums_of_rows():
+    rng = np.random.default_rng(4)
+    index = rng.integers(0, 9, 200)
+    for dtype in (np.float32, np.float64):
+        x, y = rng.normal(size=(200, 6)).astype(dtype), rng.normal(size=(200, 3)).astype(dtype)
+        want = np.zeros((11, 9))
+        np.add.at(want, index, np.hstack([x, y]))
+        assert np.allclose(attention._sum_rows(index, [x, y], 11), want, atol=1e-4)
